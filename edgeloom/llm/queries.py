@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from .common import table
 from .sharding import shard_by_bytes
+from .simhash import near_duplicates
 
 
 def op7_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op10_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), n_words=3)
+
+
 def queries() -> dict:
-    return {"op7_sharding": op7_sharding}
+    return {
+        "op7_sharding": op7_sharding,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
