@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,26 @@ def held_out(doc_id: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def sampled(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """Of labelled rows, about `most` by a hash of the id: all if there are no more. Only ids are read to count them."""
+    n = rows.select(id_col).count()
+    if n <= most:
+        return rows
+    share = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(7)), 11) / float(1 << 53)
+    return rows.filter(share < most / n)
+
+
+def kept_rows(docs: DataFrame, text_col: str, decide) -> DataFrame:
+    """The rows whose text decide keeps, with all their columns. decide: makes, on an executor, a function from a list of texts to a list of booleans."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        judge = None
+        for batch in batches:
+            judge = judge or decide()
+            yield batch.filter(pa.array(judge(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

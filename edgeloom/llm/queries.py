@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from . import language
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 
 
+def op6_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op7_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -17,6 +23,7 @@ def op10_simhash(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op6_language": op6_language,
         "op7_sharding": op7_sharding,
         "op10_simhash": op10_simhash,
     }
