@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import language
+from . import language, toxicity
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs))
@@ -23,6 +28,7 @@ def op10_simhash(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op5_toxicity": op5_toxicity,
         "op6_language": op6_language,
         "op7_sharding": op7_sharding,
         "op10_simhash": op10_simhash,
