@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import language, toxicity
+from . import html, language, toxicity
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 
 
+def op2_html(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -28,6 +32,7 @@ def op10_simhash(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op2_html": op2_html,
         "op5_toxicity": op5_toxicity,
         "op6_language": op6_language,
         "op7_sharding": op7_sharding,
