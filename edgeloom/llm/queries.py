@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, language, toxicity
+from . import html, language, toxicity, warc
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
@@ -12,6 +12,10 @@ def op2_html(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -33,6 +37,7 @@ def op10_simhash(spark, sf_dir):
 def queries() -> dict:
     return {
         "op2_html": op2_html,
+        "op4_warc": op4_warc,
         "op5_toxicity": op5_toxicity,
         "op6_language": op6_language,
         "op7_sharding": op7_sharding,
