@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, language, toxicity, urls, warc
+from . import html, knn, language, toxicity, urls, warc
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
@@ -30,6 +30,10 @@ def op7_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op8_knn(spark, sf_dir):
+    return knn.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages")).drop("score")
 
@@ -45,6 +49,7 @@ def queries() -> dict:
         "op5_toxicity": op5_toxicity,
         "op6_language": op6_language,
         "op7_sharding": op7_sharding,
+        "op8_knn": op8_knn,
         "op9_urls": op9_urls,
         "op10_simhash": op10_simhash,
     }
