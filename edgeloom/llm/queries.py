@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import html, knn, language, toxicity, urls, warc
+from . import decontamination, html, knn, language, toxicity, urls, warc
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_html(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ def op10_simhash(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_html": op2_html,
         "op4_warc": op4_warc,
         "op5_toxicity": op5_toxicity,
