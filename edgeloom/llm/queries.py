@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, knn, language, toxicity, urls, warc
+from pyspark.sql import functions as F
+
+from . import decontamination, html, knn, language, pieces, toxicity, urls, warc
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
@@ -16,6 +18,12 @@ def op2_html(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_pieces(spark, sf_dir):
+    found = pieces.encode(table(spark, sf_dir, "documents"), n_best=4)
+    scores = F.concat(F.array("score"), F.col("others.score"))
+    return found.select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), scores.alias("scores"), "others", "exact")
+
+
 def op4_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -50,6 +58,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_html": op2_html,
+        "op3_pieces": op3_pieces,
         "op4_warc": op4_warc,
         "op5_toxicity": op5_toxicity,
         "op6_language": op6_language,
