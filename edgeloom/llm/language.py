@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled, small_batches
+from .common import held_out, kept_rows, sampled, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The longest n-grams of a word, which a space opens and closes.
@@ -158,3 +158,14 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def recognised(docs: DataFrame, model: LanguageModel, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language with a score of least_score or more. Null texts and texts without a letter go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide():
+        judge = shared.value.predictor()
+        return lambda texts: [lang != UNDETERMINED and x >= least_score for lang, x in judge(texts)]
+
+    return kept_rows(docs, text_col, decide)

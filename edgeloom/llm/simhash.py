@@ -148,6 +148,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _classes(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: id, fp of each row, and fp, root (least fingerprint that is reachable), component_id of each fingerprint."""
+    fps = stored(fingerprints(docs, n_words, id_col, text_col), "fps")
+    groups = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "groups")
+    roots = components(links(groups))
+    named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps, stored(named.join(least, "root").select("fp", "root", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, fingerprint (16 hex digits), component_id (least id that is reachable over links).
 
@@ -155,14 +165,29 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", t
     empty texts have the fingerprint zero and link like any other. Repeated rows are repeated. A null id gets a row, but
     is no component's id unless all of its ids are null. An empty table gives no rows.
     """
-    fps = stored(fingerprints(docs, n_words, id_col, text_col), "fps")
-    groups = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "groups")
-    roots = components(links(groups))
-    named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = stored(named.join(least, "root").select("fp", "component_id"), "classes")
-    return fps.join(of_fp, "fp").select(
+    fps, classes = _classes(docs, n_words, id_col, text_col)
+    return fps.join(classes, "fp").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def deduplicated(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stand for their component: the one with the least id.
+
+    Rows that repeat an id and a text are one document and leave one row. Rows with a null id stay only where no row of the component
+    has an id, and then one of them does. Texts are shuffled once, by id, to meet the list of those that stay.
+    """
+    fps, classes = _classes(docs, n_words, id_col, text_col)
+    stay = fps.join(classes, "fp").filter("id = component_id").select("id").distinct()
+    out = docs.join(stay, docs[id_col] == stay.id, "left_semi")
+    if not fps.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, text_col])
+    if not fps.filter("id is null").isEmpty():
+        nameless = docs.filter(F.col(id_col).isNull()).withColumn("_row", F.monotonically_increasing_id())
+        nameless = stored(nameless, "nameless")
+        marked = fingerprints(nameless, n_words, "_row", text_col).join(classes.filter("component_id is null"), "fp")
+        one = marked.groupBy("root").agg(F.min("id").alias("one"))
+        out = out.unionByName(nameless.join(one, nameless["_row"] == one["one"], "left_semi").drop("_row"))
+    return out

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled, small_batches
+from .common import held_out, kept_rows, sampled, small_batches
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Words of each class.
@@ -333,3 +333,14 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below TOXIC_FROM. Null and empty texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide():
+        judge = shared.value.scorer()
+        return lambda texts: [x < TOXIC_FROM for x in judge(texts)]
+
+    return kept_rows(docs, text_col, decide)
