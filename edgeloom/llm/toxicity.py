@@ -36,7 +36,7 @@ WORDS = {
     "sagte sagt nannte schrieb dit disait écrit appelé dijo dice llamó escribió",
 }
 #: Tokens that a negation and a target reach.
-REACH = 3
+REACH = 4
 #: Lengths of word beginnings that can be learned as insults.
 STEMS = range(4, 11)
 #: Labelled rows to learn from (about; more are sampled by a hash of their id), learned terms, term candidates.
