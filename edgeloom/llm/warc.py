@@ -94,7 +94,8 @@ def write_record(out, record_id: str, kind: str, url: str | None, payload: memor
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     length = len(http) + (n_bytes if kind == "response" else 0)
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response"]
-    head += [f"WARC-Target-URI: {_uri_safe(url)}"] * (url is not None)
+    if url is not None:
+        head.append(f"WARC-Target-URI: {_uri_safe(url)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {n_bytes}"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_to}>"]
