@@ -58,8 +58,11 @@ def _text(url: Column) -> Column:
     return F.concat(F.lit(START * (ORDER - 1)), plain, F.lit(END))
 
 
-def _grams(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(text) - (ORDER - 1)), lambda k: F.substr(text, k, F.lit(ORDER)))
+def _grams(rows: DataFrame, *more: Column) -> DataFrame:
+    """A row for each 4-gram of rows' text, with more. The text's characters are split once, so long urls take time in proportion."""
+    chars = rows.withColumn("chars", F.split("text", ""))
+    gram = F.transform(F.sequence(F.lit(1), F.length("text") - (ORDER - 1)), lambda k: F.concat(*(F.element_at("chars", k + d) for d in range(ORDER))))
+    return chars.select(*more, F.explode(gram).alias("gram"))
 
 
 def _weights(grams: DataFrame) -> DataFrame:
@@ -99,22 +102,21 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     slim = slim.withColumn("rule", rule).withColumn("says", says)
     # Equal urls always are on the same side of the split; five of sixteen calibrate.
     slim = slim.withColumn("aside", F.substr(F.md5(F.coalesce("url", F.lit("")).cast("binary")), F.lit(1), F.lit(1)) < "5")
-    slim = slim.withColumn("row", F.monotonically_increasing_id())
+    slim = slim.withColumn("row", F.monotonically_increasing_id()).withColumn("text", _text(F.col("url")))
     learns = lambda s: ((F.col("says") == s) & ~F.col("aside")).cast("long")
-    grams = slim.select(F.explode(_grams(_text(F.col("url")))).alias("gram"), F.coalesce(learns("allow"), F.lit(0)).alias("allow"), F.coalesce(learns("block"), F.lit(0)).alias("block"))
+    grams = _grams(slim, *(F.coalesce(learns(s), F.lit(0)).alias(s) for s in ("allow", "block")))
     grams = stored(grams.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "grams")
     weights = stored(_weights(grams), "weights")
     weights = F.broadcast(weights) if weights.count() <= MOST_BROADCAST else weights
     # Partial sums leave one row for each url before the shuffle.
-    sums = slim.select("*", F.explode(_grams(_text(F.col("url")))).alias("gram")).join(weights, "gram", "left").groupBy("row").agg(
-        F.avg("weight").alias("score"), *(F.first(c).alias(c) for c in ("id", "host", "path", "rule", "says", "aside"))
-    )
+    own = ("id", "host", "path", "rule", "says", "aside")
+    sums = _grams(slim, "row", *own).join(weights, "gram", "left").groupBy("row").agg(F.avg("weight").alias("score"), *(F.first(c).alias(c) for c in own))
     scored = stored(sums.drop("row"), "scored")
     step = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) * STEPS)
     bins = scored.filter("says is not null and aside").groupBy(step.alias("step")).agg(F.sum((F.col("says") == "allow").cast("long")).alias("a"), F.sum((F.col("says") == "block").cast("long")).alias("b"))
     # 2 * LIMIT * STEPS + 1 bins at most. Blocking what lies below a step's start: blocked share of what rules block, less that of what they allow.
     below, every = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    share = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0)) / F.sum(c).over(every)
+    share = lambda c: F.try_divide(F.coalesce(F.sum(c).over(below), F.lit(0)), F.sum(c).over(every))
     best = bins.select("step", F.round(share("b") - share("a"), 12).alias("gain")).filter("gain is not null").orderBy(F.desc("gain"), "step").first()
     method = F.lit("allow") if best is None else F.when(step < best.step, "block").otherwise("allow")
     score = F.lit(None).cast("double") if best is None else F.col("score")
