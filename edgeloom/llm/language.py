@@ -25,7 +25,7 @@ LONGEST = 5
 UNKNOWN = 7.0
 #: Labelled rows to learn from (about; more are sampled by a hash of their id), entries of a language and an n-gram length.
 FIT_ROWS = 20_000
-MOST_ENTRIES = 50_000
+MOST_ENTRIES = 20_000
 #: Unseen words remembered by a worker.
 REMEMBERED = 300_000
 UNDETERMINED = "und"
@@ -44,18 +44,19 @@ class LanguageModel:
 
     @classmethod
     def of_counts(cls, rows) -> LanguageModel:
-        """rows: lang, n, gram, count."""
-        rows = list(rows)
-        langs = sorted({r[0] for r in rows})
+        """rows: lists of lang, n, gram, count, of equal length."""
+        names, lengths, grams, counts = rows
+        langs = sorted(set(names))
         at = {x: k for k, x in enumerate(langs)}
         totals: dict = defaultdict(int)
-        for lang, n, _, count in rows:
+        for lang, n, count in zip(names, lengths, counts, strict=True):
             totals[lang, n] += count
         costs: list[dict] = [{} for _ in range(LONGEST + 1)]
-        for lang, n, gram, count in rows:
-            row = costs[n].setdefault(gram, [UNKNOWN] * len(langs))
-            row[at[lang]] = min(UNKNOWN, -math.log10(count / totals[lang, n]))
-        return cls(langs, [{g: tuple(v) for g, v in x.items()} for x in costs])
+        nothing = (UNKNOWN,) * len(langs)
+        for lang, n, gram, count in zip(names, lengths, grams, counts, strict=True):
+            k, old = at[lang], costs[n].get(gram, nothing)
+            costs[n][gram] = (*old[:k], min(UNKNOWN, -math.log10(count / totals[lang, n])), *old[k + 1 :])
+        return cls(langs, costs)
 
     def unseen(self, word: str) -> tuple[float, ...] | None:
         for n in range(LONGEST, 0, -1):
@@ -136,7 +137,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     counts = rows.select("lang", "text").mapInArrow(counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")))
-    return LanguageModel.of_counts(ranked.filter(F.col("rank") <= MOST_ENTRIES).select("lang", "n", "gram", "c").toLocalIterator())
+    model = ranked.filter(F.col("rank") <= MOST_ENTRIES).select("lang", "n", "gram", "c").toArrow()
+    return LanguageModel.of_counts([model.column(k).to_pylist() for k in range(4)])
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
