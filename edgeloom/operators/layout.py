@@ -25,13 +25,24 @@ def rescaled(nodes: DataFrame, width: float, height: float) -> DataFrame:
     return nodes.withColumns({"x": (F.col("x") - middle[0]) * by, "y": (F.col("y") - middle[1]) * by})
 
 
-def force_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 500, seed: int = 0) -> DataFrame:
-    """nodes (MOST_NODES at most) with x and y by Fruchterman and Reingold's method (1991): all nodes repel, ends of edges attract, moves shrink."""
+def _small(nodes: DataFrame, edges: DataFrame) -> tuple[dict, list[tuple[int, int]]]:
+    """Numbers of the nodes, and of the ends of edges between them; for drawn results only."""
     names = [r.id for r in nodes.select("id").limit(MOST_NODES + 1).collect()]
     if len(names) > MOST_NODES:
         raise ValueError(f"a layout is for {MOST_NODES} nodes at most")
     at = {name: k for k, name in enumerate(sorted(names))}
     pairs = [(at[r.source], at[r.target]) for r in edges.select("source", "target").distinct().collect() if r.source in at and r.target in at and r.source != r.target]
+    return at, pairs
+
+
+def _with_places(nodes: DataFrame, at: dict, place: np.ndarray) -> DataFrame:
+    where = nodes.sparkSession.createDataFrame([(k, float(place[v, 0]), float(place[v, 1])) for k, v in at.items()], "id string, x double, y double")
+    return nodes.drop("x", "y").join(F.broadcast(where), "id")
+
+
+def force_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 500, seed: int = 0) -> DataFrame:
+    """nodes (MOST_NODES at most) with x and y by Fruchterman and Reingold's method (1991): all nodes repel, ends of edges attract, moves shrink."""
+    at, pairs = _small(nodes, edges)
     n = len(at)
     rng = np.random.default_rng(seed)
     place = rng.random((n, 2))
@@ -47,5 +58,28 @@ def force_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 500, seed
         np.add.at(move, b, pull)
         length = np.maximum(np.linalg.norm(move, axis=1), 1e-9)
         place += move / length[:, None] * np.minimum(length, 0.1 * (1 - step / iterations))[:, None]
-    where = nodes.sparkSession.createDataFrame([(k, float(place[v, 0]), float(place[v, 1])) for k, v in at.items()], "id string, x double, y double")
-    return nodes.drop("x", "y").join(F.broadcast(where), "id")
+    return _with_places(nodes, at, place)
+
+
+def gravity_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 200, gravity: float = 1.0, scaling: float = 10.0, seed: int = 0) -> DataFrame:
+    """nodes (MOST_NODES at most) with x and y by ForceAtlas2's forces (Jacomy and others 2014): repulsion by degrees, linear attraction along edges,
+    gravity towards the middle, and a speed that falls where nodes swing."""
+    at, pairs = _small(nodes, edges)
+    n = len(at)
+    place = np.random.default_rng(seed).random((n, 2)) * 100
+    a, b = (np.array([p[k] for p in pairs], int) for k in (0, 1))
+    mass = np.ones(n)
+    np.add.at(mass, np.r_[a, b], 1)
+    before = np.zeros((n, 2))
+    for _ in range(iterations if n > 1 else 0):
+        apart = place[:, None] - place[None]
+        distance = np.maximum((apart**2).sum(2), 1e-6)
+        move = (apart * (scaling * mass[:, None] * mass[None] / distance)[:, :, None]).sum(1)
+        along = place[a] - place[b]
+        np.add.at(move, a, -along)
+        np.add.at(move, b, along)
+        move -= gravity * mass[:, None] * place / np.maximum(np.linalg.norm(place, axis=1), 1e-6)[:, None]
+        swing = np.linalg.norm(move - before, axis=1)
+        place += move * (0.1 / (1 + np.sqrt(swing)))[:, None]
+        before = move
+    return _with_places(nodes, at, place)
