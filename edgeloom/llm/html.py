@@ -103,7 +103,7 @@ def _kind(tag: str, attrs: str, parent: Element) -> int:
 
 def blocks_of(html: str) -> list[Block]:
     """Text between borders of block elements, references decoded, white space as one space, without empty ones."""
-    root = here = Element("", None, PLAIN, False)
+    here = Element("", None, PLAIN, False)
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -170,7 +170,6 @@ def blocks_of(html: str) -> list[Block]:
                     here = at.parent
         here = Element(tag, here, _kind(tag, m["attrs"], here), here.link or tag == "a")
     flush()
-    del root
     return out
 
 
@@ -228,8 +227,10 @@ def minimum_cut(terminals: list[tuple[int, int]], ties: list[tuple[int, int, int
     n = len(terminals)
     # What source and sink share through a node flows at once.
     excess = [source - sink for sink, source in terminals]
-    if all(x >= 0 for x in excess) or all(x <= 0 for x in excess):
-        return [x > 0 for x in excess] if not ties or all(x <= 0 for x in excess) else _reached(excess, ties)
+    if all(x <= 0 for x in excess):
+        return [False] * n
+    if all(x >= 0 for x in excess):
+        return _reached(excess, ties)
     heads: list[list[int]] = [[] for _ in range(n)]
     to: list[int] = []
     left: list[int] = []
