@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import partitions, small_batches, stored
 from .components import components
 
 #: Fingerprints link at so many differing bits.
@@ -119,7 +119,8 @@ def _forest(lists: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame) -> DataFrame:
     """distinct: fp long, each once. Links a, b that connect what any chain of at most MOST_BITS differing bits connects."""
-    work = distinct.select("fp").withColumn("key", F.explode(_variants(F.col("fp"), 0, 64)))
+    # Each becomes 64 rows, so they are dealt evenly first.
+    work = distinct.select("fp").repartition(partitions(distinct.sparkSession)).withColumn("key", F.explode(_variants(F.col("fp"), 0, 64)))
     keys = ["key"]
     found = None
     for level, width in enumerate((64, 32, 16)):
