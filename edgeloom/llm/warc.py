@@ -14,6 +14,7 @@ import hashlib
 import io
 import os
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -100,13 +101,13 @@ def write_record(out, record_id: str, kind: str, url: str | None, payload: memor
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_to}>"]
     head += [f"Content-Length: {length}", "", ""]
-    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1, mtime=0) as member:
-        member.write("\r\n".join(head).encode())
-        member.write(http)
-        if kind == "response":
-            for at in range(0, len(payload), CHUNK):
-                member.write(payload[at : at + CHUNK])
-        member.write(b"\r\n\r\n")
+    # Not a GzipFile: each is part of a reference cycle, and so keeps its buffers until the collector happens to run.
+    member = zlib.compressobj(1, zlib.DEFLATED, 31)
+    out.write(member.compress("\r\n".join(head).encode() + http))
+    if kind == "response":
+        for at in range(0, len(payload), CHUNK):
+            out.write(member.compress(payload[at : at + CHUNK]))
+    out.write(member.compress(b"\r\n\r\n") + member.flush())
 
 
 def write(records: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
