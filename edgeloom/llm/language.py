@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, kept_rows, sampled, small_batches
+from .common import held_out, kept_rows, sampled, small_batches, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The longest n-grams of a word, which a space opens and closes.
@@ -102,14 +102,14 @@ class LanguageModel:
             # The evidence of words isn't independent: the sum is taken as that of the root of their number.
             cost = total * (math.log(10) / math.sqrt(count))
             best = int(cost.argmin())
-            return self.langs[best], float(1 / np.exp(np.minimum(700.0, cost[best] - cost) * 1.0).sum())
+            return self.langs[best], float(1 / np.exp(cost[best] - cost).sum())
 
         return lambda texts: [one(x) for x in texts]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Learns from rows that aren't held out and have a language and a text. Counts are summed on executors; the model has at most
-    MOST_ENTRIES words and n-grams of a length for each language, the most frequent ones that occur twice or more (all if none does)."""
+    MOST_ENTRIES words and n-grams of a length for each language, the most frequent ones; those that tie at the border stay out."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = sampled(slim.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()), "id", fit_rows)
@@ -136,8 +136,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield from out()
 
     counts = rows.select("lang", "text").mapInArrow(counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")))
-    model = ranked.filter(F.col("rank") <= MOST_ENTRIES).select("lang", "n", "gram", "c").toArrow()
+    counts = stored(counts, "counts")
+    # How often each count occurs tells the count from which on there are MOST_ENTRIES entries at most; no list is ranked as a whole.
+    often = counts.groupBy("lang", "n", "c").agg(F.count(F.lit(1)).alias("k"))
+    upwards = Window.partitionBy("lang", "n").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
+    least = often.withColumn("k", F.sum("k").over(upwards)).filter(F.col("k") <= MOST_ENTRIES).groupBy("lang", "n").agg(F.min("c").alias("least"))
+    model = counts.join(F.broadcast(least), ["lang", "n"]).filter("c >= least").select("lang", "n", "gram", "c").toArrow()
     return LanguageModel.of_counts([model.column(k).to_pylist() for k in range(4)])
 
 
