@@ -21,8 +21,9 @@ def by_toxicity(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of documents linked by fingerprints of three-word shingles that differ in three bits or fewer, the one with the least id stays."""
-    return simhash.deduplicated(docs, n_words=3)
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, or by fingerprints of three-word shingles that differ in
+    three bits or fewer, the one with the least id stays."""
+    return simhash.deduplicated(docs, n_words=3, by_shingles=True)
 
 
 def benchmark_free(spark, docs, sf_dir):

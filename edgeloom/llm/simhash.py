@@ -149,11 +149,22 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _classes(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: id, fp of each row, and fp, root (least fingerprint that is reachable), component_id of each fingerprint."""
-    fps = stored(fingerprints(docs, n_words, id_col, text_col), "fps")
+def _classes(docs: DataFrame, n_words: int, id_col: str, text_col: str, by_shingles: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: id, fp of each row, and fp, root (least fingerprint that is reachable), component_id of each fingerprint.
+    by_shingles: fingerprints are linked by the similarity of their texts, too."""
+    if by_shingles:
+        from . import similar
+
+        sketched = stored(similar.sketches(docs, n_words, id_col, text_col), "sketches")
+        fps = sketched.select("id", "fp")
+    else:
+        fps = stored(fingerprints(docs, n_words, id_col, text_col), "fps")
     groups = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "groups")
-    roots = components(links(groups))
+    found = links(groups)
+    if by_shingles:
+        found = stored(found, "links")
+        found = found.union(similar.links(sketched, found))
+    roots = components(found)
     named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps, stored(named.join(least, "root").select("fp", "root", "component_id"), "classes")
@@ -174,13 +185,15 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", t
     )
 
 
-def deduplicated(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", text_col: str = "text", by_shingles: bool = False) -> DataFrame:
     """The rows, with all their columns, that stand for their component: the one with the least id.
 
+    by_shingles: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are linked as well as near fingerprints.
+
     Rows that repeat an id and a text are one document and leave one row. Rows with a null id stay only where no row of the component
     has an id, and then one of them does. Texts are shuffled once, by id, to meet the list of those that stay.
     """
-    fps, classes = _classes(docs, n_words, id_col, text_col)
+    fps, classes = _classes(docs, n_words, id_col, text_col, by_shingles)
     stay = fps.join(classes, "fp").filter("id = component_id").select("id").distinct()
     out = docs.join(stay, docs[id_col] == stay.id, "left_semi")
     if not fps.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
