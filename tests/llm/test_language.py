@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import pytest
@@ -71,3 +72,27 @@ def test_sample_is_about_its_bound(spark):
 
     assert 800 < sampled(spark.range(20_000), "id", 1000).count() < 1200
     assert sampled(spark.range(20), "id", 1000).count() == 20
+
+
+def test_every_word_of_the_sample_is_known(spark):
+    rare = [f"{a}{b}{c}{d}" for a in "bcdfghjklm" for b in "aeiouyäöüå" for c in "npqrstvwxz" for d in "aeiouyäöüåéèáàíìóòúùâêîôûñçßæøœëïÿ"]
+    # Words that occur once, in a language more than 20,000 of them; frequent ones besides.
+    words = [w for w in rare if zlib.crc32(w.encode()) % 5]
+    assert len(words) > 24_000
+    texts = [" ".join([EN, *words[k::30]]) for k in range(30)]
+    ids = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 3 != 1][:31]
+    rows = [(i, t, "en") for i, t in zip(ids, texts, strict=False)] + [(ids[30], DE, "de")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(model.costs[0].get(w) is not None for w in words)
+    total = len(words) + 30 * len(EN.split())
+    assert model.costs[0][words[0]][1] == pytest.approx(math.log10(total))
+
+
+def test_all_entries_tie_at_the_most_frequent_count(spark):
+    """None of 30,000 words that occur once each stays out."""
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 3 != 1][:30]
+    letters = [chr(0x4E00 + k) for k in range(1000)]
+    words = [a + b for a in letters for b in letters[:30]]
+    frame = spark.createDataFrame([(i, " ".join(words[k::30]), "zh") for k, i in enumerate(ids)], "doc_id long, text string, lang string")
+    model = language.fit(frame)
+    assert len(model.costs[0]) == len(words) == 30_000
