@@ -32,9 +32,9 @@ def benchmark_free(spark, docs, sf_dir):
 
 
 def encoded(spark, docs, sf_dir):
-    """Per document its piece ids, their score, and whether they decode to its text."""
-    found = pieces.encode(docs, n_best=2, keep=("lang", "source", "n_chars"))
-    return found.select("doc_id", "lang", "source", "n_chars", "ids", "score", "exact")
+    """Per document its piece ids, their score, the next best segmentations, and whether all of them decode to its text."""
+    found = pieces.encode(docs, n_best=4, keep=("lang", "source", "n_chars"))
+    return found.select("doc_id", "lang", "source", "n_chars", "ids", "score", "others", "exact")
 
 
 STAGES = [

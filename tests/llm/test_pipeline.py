@@ -50,6 +50,13 @@ def test_stages_remove_what_was_planted(spark, tmp_path):
     assert texts[0]
 
 
+def test_last_stage_returns_the_next_best_segmentations(spark):
+    docs = spark.createDataFrame([(1, line(1), "en", "s", 9), (2, "the house", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.encoded(spark, docs, None).collect()
+    assert len(got) == 2 and all(len(r.others) == 3 and r.exact for r in got)
+    assert all(x.score <= r.score + 1e-9 for r in got for x in r.others)
+
+
 def test_empty_documents(spark, tmp_path):
     tables(spark, str(tmp_path), [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
