@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,27 +12,37 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts can be long, so a batch has few of them.
 BATCH_ROWS = 256
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that go to Python: long texts come few at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def bounded_batches(batches):
+    """Arrow batches cut into runs of BATCH_ROWS rows, and of one row where texts are long: so few are Python objects at once, whatever the session's settings."""
+    for batch in batches:
+        at = 0
+        while at < len(batch):
+            n = BATCH_ROWS
+            while n > 1 and batch.slice(at, n).nbytes > BATCH_BYTES:
+                n //= 2
+            yield batch.slice(at, n)
+            at += n
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the one that the cluster names in spark.checkpoint.dir. Where that is unset (tests on one
-    machine) a folder of our own is set.
+    It is the one that the cluster names in spark.checkpoint.dir, or one set by setCheckpointDir. Where neither is (tests and trials on one
+    machine) a temporary folder is set, and only if all executors run in the driver's process: elsewhere they would not see it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="edgeloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="edgeloom-"))
     return sc.getCheckpointDir()
 
 
@@ -71,12 +82,11 @@ def sampled(rows: DataFrame, id_col: str, most: int) -> DataFrame:
 
 def kept_rows(docs: DataFrame, text_col: str, decide) -> DataFrame:
     """The rows whose text decide keeps, with all their columns. decide: makes, on an executor, a function from a list of texts to a list of booleans."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
         judge = None
-        for batch in batches:
+        for batch in bounded_batches(batches):
             judge = judge or decide()
             yield batch.filter(pa.array(judge(batch.column(at).to_pylist()), pa.bool_()))
 

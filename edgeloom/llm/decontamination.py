@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, small_batches
+from .common import bounded_batches, kept_rows
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Tokens of a seed and of the shortest tile.
@@ -190,7 +190,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     null; empty tables give no rows; further columns are ignored. Documents are read whole, and are not shuffled.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, coverage double, n_tiles int, longest int, n_tokens int"
     out = spark.createDataFrame([], schema)
@@ -198,7 +197,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         shared = spark.sparkContext.broadcast(Benchmark(block, match))
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in bounded_batches(batches):
                 rows = [(d, *hit) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in shared.value.hits(text) if hit[1] >= coverage]
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "coverage", "n_tiles", "longest", "n_tokens"])

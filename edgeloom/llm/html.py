@@ -1,9 +1,12 @@
 """Main-text extraction by minimum-cut labelling of a page's blocks.
 
-A page becomes a list of text blocks with the elements they stand in. A classifier gives each block two costs, one for calling
-it content and one for calling it boilerplate; these are the capacities to the two terminals. Blocks next to
-each other, and blocks of the same parent, are tied by smoothness edges. A maximum flow finds the cheapest labelling:
-the blocks that stay connected to the source are the content.
+A page becomes a list of text blocks with the elements they stand in. A classifier weighs what speaks for a block being content against
+what speaks for boilerplate: its length, its end, its links, its element, the telling elements and class names around it and the heading it
+follows. The two sums are the capacities to the two terminals. Blocks next to each other, and blocks of the same
+parent, are tied by smoothness edges. A maximum flow finds the cheapest labelling: the blocks that stay connected to the
+source are the content. So a short line inside the text is kept, and a sentence inside a menu is dropped.
+
+A class name is evidence and no verdict: an element that is marked as boilerplate but holds the page's largest article is a wrapper, and its mark is void.
 """
 
 from __future__ import annotations
@@ -16,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 
 #: Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|noscript|textarea|title|iframe|svg|math|select|object|canvas|audio|video"
+RAW = frozenset("script style template noscript textarea title iframe svg math select object canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a new one of the same group ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button fieldset head".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog button fieldset head".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising adsense banner sponsor sponsored promo promotion promoted sidebar aside menu menus nav navbar navigation "
@@ -36,75 +39,113 @@ BOILERPLATE_WORDS = frozenset(
 )
 CONTENT_TAGS = frozenset(["article", "main"])
 CONTENT_WORDS = frozenset("article articlebody story entry post main maintext bodytext content".split())
-PHRASES = re.compile(r"©|all rights reserved|cookie|privacy policy|terms of (?:use|service)|subscribe|sign up|log in|advertisement|read more|click here", re.I)
+#: Words of a class name that say nothing about its kind; those that, first or last, say that a page has or shows something elsewhere.
+NEUTRAL = frozenset("box block area list item items container wrapper wrap section inner outer bar top bottom left right link links text body form panel group slot unit site page global primary secondary large small row col".split())
+HAVING = frozenset("has have no not with without is hide show enable enabled disable disabled supports js".split())
+STATES = frozenset("open opened closed off on enabled disabled visible active count".split())
+RIGHTS = re.compile(r"©|\(c\)\s|copyright\b", re.I)
+PHRASES = re.compile(r"all rights reserved|cookie|privacy policy|terms of (?:use|service)|subscribe|sign up|log in|advertisement|read more|click here", re.I)
+#: What a heading says when readers' comments or other pages' teasers follow.
+LEAVES = re.compile(
+    r"\W*(?:\d+\s+)?(?:(?:reader|user|readers'|your)\s+)?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?|(?:leave|post|add|write) an? (?:comment|reply)"
+    r"|join the (?:discussion|conversation)|(?:related|recommended|more) (?:articles?|posts?|stories|links|news|reading)|you (?:may|might) also like)(?:\s*\(\d+\))?\W*",
+    re.I,
+)
 
 #: Weights of the classifier and of the edges.
-INSIDE_BOILERPLATE, INSIDE_CONTENT, HEADER = 60, 30, 25
+HIDDEN, MARKED, PARTLY_MARKED, PAGE_HEADER, INNER_HEADER, LEFT = 60, 30, 10, 25, 6, 45
+INSIDE_CONTENT, INSIDE_CONTENT_CLASS, PARAGRAPH, HEADING, ENDED, MOST_FOR_WORDS = 18, 8, 5, 5, 3, 12
+LINKED, LISTED, SHORT, PHRASE, COPYRIGHT = 12, 3, 4, 10, 20
 NEXT_TO, SAME_PARENT, SAME_GRANDPARENT = 2, 4, 2
-
-TOKEN = re.compile(
-    rf"(?P<note><!--.*?(?:-->|\Z)|<[!?][^>]*>)"
-    rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
-    r"|</?[a-zA-Z][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Elements nested deeper count as siblings, as in browsers.
+DEEPEST = 512
+
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag. A quotation mark counts only after an equals sign.
+TAG_END = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/>])(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "kind", "link", "inline")
+    """hidden, marked (by its own tag, role, class), voidable (the mark), core (may hold the text), header; words and last (element) of all below it,
+    most: words of the largest core below it; bad: weight against the blocks inside; good: weight for them."""
+
+    __slots__ = ("tag", "parent", "link", "inline", "order", "own", "voidable", "core", "header", "words", "most", "last", "bad", "good", "clean")
 
-    def __init__(self, tag: str, parent: Element | None, kind: int, link: bool):
-        self.tag, self.parent, self.kind, self.link, self.inline = tag, parent, kind, link, tag in INLINE
+    def __init__(self, tag: str, parent: Element | None, link: bool, order: int):
+        self.tag, self.parent, self.link, self.inline, self.order = tag, parent, link, tag in INLINE, order
+        self.own = self.core = self.words = self.most = self.bad = self.good = 0
+        self.voidable = self.header = False
+        self.clean = True
+        self.last = order
 
 
 class Block:
-    __slots__ = ("text", "owner", "linked")
+    __slots__ = ("text", "owner", "linked", "words", "left")
 
     def __init__(self, text: str, owner: Element, linked: int):
-        self.text, self.owner, self.linked = text, owner, linked
-
-
-#: Kinds of place: none said, content, boilerplate, a header.
-PLAIN, CONTENT, BOILERPLATE, HEAD = range(4)
-
-
-def _kind(tag: str, attrs: str, parent: Element) -> int:
-    """What the nearest telling element around a block says about it."""
-    if parent.kind == BOILERPLATE or tag in BOILERPLATE_TAGS:
-        return BOILERPLATE
-    own = PLAIN
-    if attrs and tag not in ("body", "html"):
-        words: set[str] = set()
-        for name, *values in ATTR.findall(attrs):
-            name, value = name.lower(), "".join(values)
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-                return BOILERPLATE
-            if name == "role":
-                own = CONTENT if value in ("main", "article") else own
-                if value in BOILERPLATE_ROLES:
-                    return BOILERPLATE
-            elif name in ("class", "id"):
-                words.update(x.lower() for x in NAME.findall(value))
-        if words & BOILERPLATE_WORDS:
-            # A title's header inside the article is a milder sign than a page's.
-            return HEAD if words & BOILERPLATE_WORDS == {"header"} and parent.kind == CONTENT else BOILERPLATE
-        if words & CONTENT_WORDS:
-            own = CONTENT
-    if tag in CONTENT_TAGS:
-        return CONTENT
-    if tag == "header":
-        return HEAD if parent.kind == CONTENT else BOILERPLATE
-    return own or parent.kind
-
-
-def blocks_of(html: str) -> list[Block]:
-    """Text between borders of block elements, references decoded, white space as one space, without empty ones."""
-    here = Element("", None, PLAIN, False)
-    out: list[Block] = []
+        self.text, self.owner, self.linked, self.words, self.left = text, owner, linked, text.count(" ") + 1, 0
+
+
+def _class_mark(name: str) -> tuple[int, bool, bool]:
+    """Weight against content, whether it names a header, whether it names content. A name's last telling word says what it is."""
+    words = [x.lower() for x in NAME.findall(name)]
+    if not words or words[0] in HAVING or words[-1] in STATES:
+        return 0, False, False
+    telling = [x for x in words if x not in NEUTRAL] or words
+    if telling[-1] in BOILERPLATE_WORDS:
+        return MARKED, telling[-1] == "header", False
+    if not BOILERPLATE_WORDS.isdisjoint(telling):
+        return PARTLY_MARKED, False, False
+    return 0, False, telling[-1] in CONTENT_WORDS
+
+
+def _read_marks(e: Element, attrs: str) -> None:
+    """What an element's own tag and attributes say."""
+    tag = e.tag
+    if tag in BOILERPLATE_TAGS:
+        e.own = MARKED
+    elif tag == "form":
+        e.own, e.voidable = MARKED, True
+    elif tag == "header":
+        e.header = True
+    elif tag in CONTENT_TAGS:
+        e.core = INSIDE_CONTENT
+    if not attrs or tag in ("body", "html"):
+        return
+    for name, *values in ATTR.findall(attrs):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+            e.own, e.voidable = HIDDEN, False
+        elif name == "role":
+            if value in ("main", "article"):
+                e.core = INSIDE_CONTENT
+            elif value in BOILERPLATE_ROLES and e.own < MARKED:
+                e.own = MARKED
+        elif name in ("class", "id"):
+            for one in value.split():
+                weight, header, content = _class_mark(one)
+                if header and weight:
+                    e.header = True
+                elif weight > e.own:
+                    e.own, e.voidable = weight, True
+                if content and not e.core:
+                    e.core = INSIDE_CONTENT_CLASS
+    if e.own >= MARKED:
+        e.core = 0
+
+
+def parsed(html: str) -> tuple[list[Block], list[Element]]:
+    """Blocks: text between borders of block elements, references decoded, white space as one space, without empty ones. Elements: those
+    that may hold any, in the order of their start tags. One pass; nothing is read twice. A tag, a comment or a raw element that never ends takes the rest of the page."""
+    root = Element("", None, False, 0)
+    elements, blocks = [root], []
+    stack = [root]
+    #: Open elements by tag, and the open inline ones of each open block element.
+    count: dict[str, int] = {}
+    frames: list[dict[str, int]] = [{}]
     parts: list[str] = []
     linked = 0
 
@@ -113,43 +154,74 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                owner = here
-                while owner.inline and owner.parent:
-                    owner = owner.parent
-                out.append(Block(text, owner, linked))
+                k = len(stack) - 1
+                while k and stack[k].inline:
+                    k -= 1
+                blocks.append(Block(text, stack[k], linked))
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(html):
-        text = m["text"]
-        if text:
-            text = unescape(text)
-            parts.append(text)
-            if here.link:
-                linked += len(text)
-            continue
-        tag = m["tag"]
-        if tag is None:
+    def pop(size: int):
+        while len(stack) > size:
+            e = stack.pop()
+            count[e.tag] -= 1
+            if e.inline:
+                frames[-1][e.tag] -= 1
+            else:
+                frames.pop()
+
+    def say(text: str):
+        nonlocal linked
+        text = unescape(text)
+        parts.append(text)
+        if stack[-1].link:
+            linked += len(text)
+
+    at, size = 0, len(html)
+    while at < size:
+        start = html.find("<", at)
+        if start != at:
+            say(html[at : start if start >= 0 else size])
+            if start < 0:
+                break
+        m = TAG.match(html, start)
+        if not m:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 2)
+                at = end + 3 if end >= 0 else size
+            elif html.startswith(("<!", "<?", "</"), start):
+                end = html.find(">", start)
+                at = end + 1 if end >= 0 else size
+            else:
+                say("<")
+                at = start + 1
             continue
-        tag = tag.lower()
-        if m["end"]:
-            at = here
-            while at.parent and at.tag != tag:
-                at = at.parent
-            if not at.parent:
+        rest = TAG_END.match(html, m.end())
+        if not rest:
+            break
+        at = rest.end()
+        tag = m[2].lower()
+        if m[1]:
+            if not count.get(tag):
                 if tag not in INLINE:
                     flush()
-                continue
-            # An inline end tag ends no block element around it.
-            if tag in INLINE:
-                walk = here
-                while walk is not at and walk.inline:
-                    walk = walk.parent
-                if walk is not at:
-                    continue
-            else:
+            elif tag not in INLINE:
                 flush()
-            here = at.parent
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                pop(k)
+            elif frames[-1].get(tag):
+                # An inline end tag ends no block element around it.
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                pop(k)
+            continue
+        if tag in RAW:
+            end = RAW_END[tag].search(html, at)
+            close = end and html.find(">", end.end())
+            at = close + 1 if close and close > 0 else size
             continue
         if tag in ("br", "hr"):
             parts.append(" ")
@@ -157,46 +229,94 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            while here.inline and here.parent:
-                here = here.parent
-            if here.tag == "p":
-                here = here.parent
-            ends, scope = CLOSES.get(tag), SCOPES.get(tag, ())
-            if ends:
-                at = here
-                while at.parent and at.tag not in ends and at.tag not in scope:
-                    at = at.parent
-                if at.tag in ends:
-                    here = at.parent
-        here = Element(tag, here, _kind(tag, m["attrs"], here), here.link or tag == "a")
+            k = len(stack)
+            while stack[k - 1].inline:
+                k -= 1
+            if stack[k - 1].tag == "p":
+                k -= 1
+            ends = CLOSES.get(tag)
+            if ends and any(count.get(x) for x in ends):
+                scope, j = SCOPES.get(tag, ()), k - 1
+                while j and stack[j].tag not in ends and stack[j].tag not in scope:
+                    j -= 1
+                if stack[j].tag in ends:
+                    k = j
+            pop(k)
+        if len(stack) > DEEPEST:
+            if not stack[-1].inline or tag not in INLINE:
+                flush()
+            pop(DEEPEST)
+        e = Element(tag, stack[-1], stack[-1].link or tag == "a", len(elements))
+        _read_marks(e, rest[1])
+        elements.append(e)
+        stack.append(e)
+        count[tag] = count.get(tag, 0) + 1
+        if e.inline:
+            frames[-1][tag] = frames[-1].get(tag, 0) + 1
+        else:
+            frames.append({})
     flush()
-    return out
+    return blocks, elements
+
+
+def _weigh(blocks: list[Block], elements: list[Element]) -> None:
+    """Gives elements their weights and marks the blocks that a heading like `Comments` leaves behind it."""
+    for b in blocks:
+        b.owner.words += b.words
+    for e in reversed(elements[1:]):
+        p = e.parent
+        p.words += e.words
+        p.most = max(p.most, e.most, e.words if e.core else 0)
+        p.last = max(p.last, e.last)
+    largest = elements[0].most
+    for e in elements[1:]:
+        p = e.parent
+        e.bad, e.good, e.clean = p.bad, p.good, p.clean
+        own = e.own
+        if e.voidable and e.most and e.most == largest and 2 * e.most >= e.words:
+            own = 0
+        if e.header:
+            own = max(own, INNER_HEADER if p.good and p.clean else PAGE_HEADER)
+        if own:
+            e.bad = min(HIDDEN, max(p.bad, own) + (own if own < MARKED and p.bad else 0))
+            if own >= PAGE_HEADER:
+                e.good = 0
+                e.clean = e.clean and e.voidable
+        if e.core and e.clean and (e.bad < PAGE_HEADER or e.words == largest):
+            e.good = max(e.good, e.core)
+    scope, level = None, 0
+    for b in blocks:
+        e = b.owner
+        rank = int(e.tag[1]) if e.tag in HEADINGS else 7
+        if scope is not None and (e.order > scope.last or e.order < scope.order or rank <= min(level, 6)):
+            scope = None
+        if b.words <= 6 and not b.linked and LEAVES.fullmatch(b.text):
+            scope, level = e.parent or e, rank
+            while scope.parent and scope.words == b.words:
+                scope = scope.parent
+            b.left = LEFT
+        elif scope is not None:
+            b.left = LEFT
 
 
 def costs(block: Block) -> tuple[int, int]:
     """What calling the block content costs, what calling it boilerplate costs."""
-    content, boilerplate = 0, 0
-    kind, tag = block.owner.kind, block.owner.tag
-    if kind == BOILERPLATE:
-        content += INSIDE_BOILERPLATE
-    elif kind == CONTENT:
-        boilerplate += INSIDE_CONTENT
-    elif kind == HEAD:
-        boilerplate += HEADER if tag in HEADINGS else 8
-    words = block.text.count(" ") + 1
-    boilerplate += min(20, words // 2)
-    if 2 * block.linked > len(block.text):
-        content += 15
+    owner, tag = block.owner, block.owner.tag
+    content, boilerplate = owner.bad + block.left, owner.good
+    ended = block.text[-1] in ".!?…。！？:"
+    boilerplate += min(MOST_FOR_WORDS, block.words // 2) + ENDED * ended
     if tag == "p":
-        boilerplate += 4
+        boilerplate += PARAGRAPH
     elif tag in HEADINGS:
-        boilerplate += 5
+        boilerplate += HEADING
     elif tag == "li":
-        content += 3
-    if words < 5 and block.text[-1] not in ".!?…。！？:" and tag not in HEADINGS:
-        content += 4
-    if words < 40 and PHRASES.search(block.text):
-        content += 8
+        content += LISTED
+    if 2 * block.linked > len(block.text):
+        content += LINKED
+    if block.words < 5 and not ended and tag not in HEADINGS:
+        content += SHORT
+    if block.words < 40:
+        content += COPYRIGHT if RIGHTS.match(block.text) else PHRASE if PHRASES.search(block.text) else 0
     return content, boilerplate
 
 
@@ -302,22 +422,26 @@ def _reached(excess: list[int], ties: list[tuple[int, int, int]]) -> list[bool]:
     return [k in seen for k in range(len(excess))]
 
 
+def labelled(html: str | None) -> list[tuple[Block, bool]]:
+    """The blocks of a page in page order, each with whether it is content."""
+    blocks, elements = parsed(html or "")
+    if not blocks:
+        return []
+    _weigh(blocks, elements)
+    return list(zip(blocks, minimum_cut([costs(b) for b in blocks], edges(blocks)), strict=True))
+
+
 def main_text(html: str | None) -> str:
     """The content blocks in page order, joined by a space. Null and empty pages, and pages without content, give an empty text."""
-    blocks = blocks_of(html or "")
-    if not blocks:
-        return ""
-    chosen = minimum_cut([costs(b) for b in blocks], edges(blocks))
-    return " ".join(b.text for b, x in zip(blocks, chosen, strict=True) if x)
+    return " ".join(b.text for b, is_content in labelled(html) if is_content)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of pages: id, url, text, n_chars. Each page is labelled whole and alone, so nothing is shuffled. Repeated rows are
     repeated, null ids and urls stay null, an empty table gives no rows, further columns are ignored."""
-    small_batches(pages.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded_batches(batches):
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"]

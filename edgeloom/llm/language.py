@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, kept_rows, sampled, small_batches
+from .common import bounded_batches, held_out, kept_rows, sampled
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The longest n-grams of a word, which a space opens and closes.
@@ -163,7 +163,6 @@ class LanguageModel:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Learns from rows that aren't held out and have a language and a text. Counts are summed on executors; the model has
     every word and n-gram, as hashes."""
-    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = sampled(slim.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()), "id", fit_rows)
 
@@ -181,7 +180,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "n": pa.array([n] * len(grams), pa.int32()), "gram": pa.array(grams, pa.string()), "c": pa.array(grams.values(), pa.int64())})
             held.clear()
 
-        for batch in batches:
+        for batch in bounded_batches(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held[lang].update(WORD.findall(text.lower()))
             if sum(map(len, held.values())) > 100_000:
@@ -202,12 +201,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """Per row of docs: id, held_out, lang_pred, score. `und` and 0 for null texts, texts without a letter, and a model without a language.
     Repeated rows are repeated; an empty table gives no rows; further columns are ignored."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         judge = None
-        for batch in batches:
+        for batch in bounded_batches(batches):
             judge = judge or shared.value.predictor()
             got = judge(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 
 SPACE = "▁"
 #: The vocabulary file, a parameter everywhere.
@@ -272,13 +272,12 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model_file: str = MODEL_FILE,
     none of keep may bear a name of the result. Texts are encoded whole; nothing is shuffled.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(Pieces.of_file(model_file))
     slim = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
         one = None
-        for batch in batches:
+        for batch in bounded_batches(batches):
             one = one or shared.value.encoder(n_best)
             got = [one(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             others = [[{"score": s, "edits": [{"first": a, "n": n, "ids": new} for a, n, new in edits]} for s, edits in g[2]] for g in got]
@@ -294,11 +293,10 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model_file: str = MODEL_FILE,
 def decode(rows: DataFrame, model_file: str = MODEL_FILE, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: id, text. Null and empty ids give an empty text; ids that the vocabulary doesn't have raise an error."""
     spark = rows.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(Pieces.of_file(model_file))
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded_batches(batches):
             texts = [shared.value.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 

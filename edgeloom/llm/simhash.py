@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stored
+from .common import bounded_batches, partitions, stored
 from .components import components
 
 #: Fingerprints link at so many differing bits.
@@ -56,10 +56,9 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp long. bytes.lower() and bytes.split() are the ASCII rules that the shingles ask for."""
-    small_batches(docs.sparkSession)
 
     def of(batches):
-        for batch in batches:
+        for batch in bounded_batches(batches):
             fps = [fingerprint(t.as_py(), n_words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bounded_batches, stored
 from .components import components
 from .simhash import fingerprint
 
@@ -59,10 +59,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def sketches(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
     """id, fp (the fingerprint of n_words-word shingles), alike (equal sets of shingles; null without words), size, keys, body (the words), row."""
-    small_batches(docs.sparkSession)
 
     def of(batches):
-        for batch in batches:
+        for batch in bounded_batches(batches):
             out: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -118,7 +117,7 @@ def _verified(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         of = lru_cache(512)(lambda body: shingles(body.split()))
-        for batch in batches:
+        for batch in bounded_batches(batches):
             yes = [similar(of(a.as_py()), of(b.as_py())) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["fp_a", "fp_b"]).rename_columns(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_folder, small_batches, stored
+from .common import bounded_batches, partitions, shared_folder, stored
 
 #: Payload bytes of a chunk.
 CHUNK = 1 << 20
@@ -124,7 +124,7 @@ def write(records: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -
             place.rename(f"{name}.open", name)
             return pa.RecordBatch.from_pydict({"archive": [name], "n_records": pa.array([n], pa.int64())})
 
-        for batch in batches:
+        for batch in bounded_batches(batches):
             ids, urls, payloads, digests, refers = batch.columns
             for k in range(len(batch)):
                 if out is None:
@@ -141,7 +141,6 @@ def write(records: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -
         if out is not None:
             yield close()
 
-    small_batches(records.sparkSession)
     return stored(records.select("record_id", "url", "payload", "sha1", "refers_to").mapInArrow(run, "archive string, n_records long"), "manifest")
 
 

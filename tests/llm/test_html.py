@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -35,6 +36,46 @@ PAGES = {
 }
 
 
+RIVER = "The river rose by two metres in the night, and the town had to be left."
+WALL = "Nobody was hurt when the water came over the wall, officials told us."
+BODY, TEXT = f"<p>{RIVER}</p><p>{WALL}</p>", f"{RIVER} {WALL}"
+READER = "<p>I was there and it was far worse than you write here.</p>"
+WRAPPED = {
+    "has-sidebar": f'<div class="layout has-sidebar"><main>{BODY}</main><div class="sidebar"><p>Most read is the story of a cat that came home.</p></div></div>',
+    "form": f'<form id="aspnetForm"><article>{BODY}</article></form>',
+    "comments-open": f'<article class="post comments-open">{BODY}</article>',
+    "no-header": f'<main class="no-header">{BODY}</main>',
+    "sidebar-layout": f'<div class="sidebar-layout"><article>{BODY}</article></div>',
+    "comments below": f"<div>{BODY}</div><div><h3>Comments</h3><div>{READER}</div><p>Great story, thank you for it.</p></div>",
+    "comments inside": f"<article>{BODY}<h2>3 comments</h2>{READER}<ul><li>So was I, and my dog.</li></ul></article><footer>Made by us here.</footer>",
+    "reply": f"<body><article>{BODY}</article><h2>Leave a reply</h2><p>You have to be a member of this site to write here.</p></body>",
+    "comment articles": f'<article>{BODY}</article><div id="comments"><article class="comment">{READER}</article></div>',
+    "comments area": f'<main><article>{BODY}</article><section class="comments-area">{READER}</section></main>',
+    "advert inside": f'<article>{BODY}<div class="ad"><p>Buy this very fine thing today, for it is cheap and good and all your friends have it.</p></div></article>',
+    "related": f'<main>{BODY}<div class="related"><article><p>Another river rose too, in another town by another wall, they say.</p></article></div></main>',
+    "cookies": f'<div class="cookie-notice"><p>We use cookies to make this page work and to see who reads it.</p></div><div id="content">{BODY}</div><div class="site-footer">Made by us.</div>',
+    "aside": f"<aside><article>{READER}</article></aside><article>{BODY}</article>",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrappers_and_comments(name):
+    assert html.main_text(WRAPPED[name]) == TEXT
+
+
+def test_the_cut_corrects_single_blocks():
+    """Pages where the cheaper label of a block alone is wrong and the cut is right."""
+    menu = "".join(f"<li><a href={k}>{x}</a></li>" for k, x in enumerate(["Home", "News of today", "Sport", "Weather"]))
+    pages = {
+        f"<div><p>{RIVER}</p><div>Nobody home</div><p>{WALL}</p></div>": ("Nobody home", True),
+        f"<ul>{menu}<li>All the news that the editors of this page like.</li>{menu}</ul><div>{BODY}</div>": ("All the news that the editors of this page like.", False),
+    }
+    for page, (text, is_content) in pages.items():
+        [(block, label)] = [x for x in html.labelled(page) if x[0].text == text]
+        against, for_it = html.costs(block)
+        assert label == is_content != (for_it > against)
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_pages(page):
     assert html.main_text(page) == PAGES[page]
@@ -50,6 +91,28 @@ def test_rows(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
+HOSTILE = {
+    "unfinished tags": "<a" * 100_000,
+    "unmatched ends": "<div>" * 100_000 + "</x>" * 100_000,
+    "open quotes": '<p a="' * 30_000,
+    "ends of outer inline": "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000,
+    "quoted ends": '<a b=">" ' * 50_000,
+    "long space": "<p class" + " " * 200_000 + ">x",
+    "open comments": "<!--" * 100_000,
+    "open titles": "<title>" * 100_000,
+    "half and half": "<article>" + "<p>Some good words are here.</p>" * 5000 + "</article>" + "<nav><p>Home</p></nav>" * 5000,
+    "in turn": "<div>" + "<p>Words that are many and stand in a line here.</p><ul><li><a>x</a></li></ul>" * 5000,
+    "references": "&#" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    began = time.perf_counter()
+    html.main_text(HOSTILE[name])
+    assert time.perf_counter() - began < 2
+
+
 def test_hostile_pages_end():
     assert html.main_text('<p a="' * 3000) is not None
     assert html.main_text("<b>" * 20_000 + "some words that stand in very deep markup indeed") is not None
