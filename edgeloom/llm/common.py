@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -46,20 +48,75 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Paths of the tables that stored() has written and nothing has deleted yet.
+_tables: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and survives lost executors."""
+    """df as a table in the shared folder: it cuts the lineage and survives lost executors. It is deleted by forget(), by the scratch() around it, or when the driver's
+    Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_forget_all)
+    _tables.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def remember(path: str) -> None:
+    """Has a folder deleted as those of stored() are."""
+    if not _tables:
+        atexit.register(_forget_all)
+    _tables.append(path)
+
+
+def _delete(path: str) -> None:
+    from pyspark import SparkContext
+
+    jvm, sc = SparkContext._gateway.jvm, SparkContext._active_spark_context
+    conf = sc._jsc.hadoopConfiguration() if sc else jvm.org.apache.hadoop.conf.Configuration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def _forget_all() -> None:
+    with contextlib.suppress(Exception):  # the driver ends; its JVM may have gone first
+        while _tables:
+            _delete(_tables.pop())
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by stored()."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _tables.remove(df._stored_at)
+    _delete(df._stored_at)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Deletes, at its end, the tables stored inside it but for those that were handed to the function it gives."""
+    before, kept = set(_tables), set()
+    yield lambda *tables: kept.update(t._stored_at for t in tables)
+    for path in [p for p in _tables if p not in before and p not in kept]:
+        _tables.remove(path)
+        _delete(path)
+
+
+#: A key with this share of all rows or more is hot; so there are fewer hot keys than its inverse.
+HOT = 1 / 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, total: int) -> DataFrame:
+    """rows and table joined on keys, which are unique in table. counts: a stored table of the keys with n, the number of their rows; total: of all rows.
+    Hot keys, 1 / HOT at most, meet their rows by broadcast, so these stay where they are; all others meet by a shuffle."""
+    hot = counts.filter(F.col("n") >= max(2.0, total * HOT)).select(*keys)
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    hot = F.broadcast(hot)
+    at_hot = F.broadcast(table.join(hot, keys, "left_semi"))
+    return rows.join(at_hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(table, keys))
 
 
 def held_out(doc_id: Column) -> Column:

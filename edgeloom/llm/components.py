@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import forget, join_hot, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Links each larger neighbour of a node to the least one around the node."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Links each larger neighbour of a node to the least one around the node. edges: a > b, n of them."""
+    down = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    least = stored(edges.union(down).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    out = stored(join_hot(down, least.select("a", "m"), ["a"], least, n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
+    forget(least)
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Links a node and its smaller neighbours to the least of them. edges: a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b")))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Links a node and its smaller neighbours to the least of them. edges: a > b, n of them."""
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    moved = join_hot(edges, least.select("a", "m"), ["a"], least, n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = stored(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+    forget(least)
+    return out
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """edges: a, b longs, links without direction. Returns node, root: root is the least node that node reaches.
 
-    Each round is written to the shared folder, so that lost executors cost one round, and the round before is deleted.
+    Each step is written to the shared folder, so that lost executors cost one step, and the one before is deleted.
     Rows with a null and links of a node to itself say nothing. No links: no rows. The
-    number of rounds grows with the logarithm of the longest chain.
+    number of rounds grows with the logarithm of the longest chain. Nodes with very many links are no hot keys: see join_hot().
     """
     now = stored(
         edges.filter("a is not null and b is not null and a <> b")
@@ -35,13 +39,16 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         .distinct(),
         "links",
     )
-    sign = None
+    # Of one pass over the links: their number and a sum of hashes, which tell whether anything moved.
+    signed = lambda links: links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    sign = signed(now)
     for _ in range(most_rounds):
-        new = stored(_small_star(_large_star(now).distinct()).distinct(), "links")
+        large = _large_star(now, sign[0])
         forget(now)
-        now = new
-        # Of one pass over the links: their number and a sum of hashes, which tell whether anything moved.
-        got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # A large star never has more links than there were.
+        now = _small_star(large, sign[0])
+        forget(large)
+        got = signed(now)
         if got == sign:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

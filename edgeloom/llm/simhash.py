@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, stored
+from .common import bounded_batches, join_hot, partitions, scratch, stored
 from .components import components
 
 #: Fingerprints link at so many differing bits.
@@ -55,15 +55,23 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp long. bytes.lower() and bytes.split() are the ASCII rules that the shingles ask for."""
+    """id, key (a hash of the text), fp long. bytes.lower() and bytes.split() are the ASCII rules that the shingles ask for."""
 
     def of(batches):
         for batch in bounded_batches(batches):
-            fps = [fingerprint(t.as_py(), n_words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [fingerprint(t.as_py(), n_words) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], ["id", "key", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(of, "id long, fp long")
+    return docs.select(*named(id_col, text_col)).mapInArrow(of, "id long, key long, fp long")
+
+
+def text_key(text_col: str) -> Column:
+    """A hash of the text that tells a document's texts apart; null texts have one of their own."""
+    return F.xxhash64(F.col(text_col).cast("string"), F.col(text_col).isNull())
+
+
+def named(id_col: str, text_col: str) -> list[Column]:
+    return [F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text")]
 
 
 def _variants(bits: Column, low: int, width: int) -> Column:
@@ -122,10 +130,11 @@ def links(distinct: DataFrame) -> DataFrame:
     work = distinct.select("fp").repartition(partitions(distinct.sparkSession)).withColumn("key", F.explode(_variants(F.col("fp"), 0, 64)))
     keys = ["key"]
     found = None
+    total = 64 * distinct.count()
     for level, width in enumerate((64, 32, 16)):
         # Counts are summed before the shuffle; most signatures have one fingerprint and end here.
-        counts = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        alike = work.join(counts, keys)
+        counts = stored(work.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+        alike = join_hot(work, counts, keys, counts, total)
         if level < 2:
             alike = stored(alike, "alike")
         few = alike.filter(F.col("n") <= MOST_ALIKE) if level < 2 else alike
@@ -134,10 +143,11 @@ def links(distinct: DataFrame) -> DataFrame:
         if level == 2:
             break
         many = alike.filter(F.col("n") > MOST_ALIKE).drop("n")
-        if many.isEmpty():
+        half = width // 2
+        total = many.count() * half
+        if not total:
             break
         # The half that the signature did not hold: it follows from the signature's position.
-        half = width // 2
         last = keys[-1]
         upper = F.floor(F.shiftright(F.col(last), 32) / half).cast("int")
         low = (1 - upper) * half if level == 0 else F.col("low") + (1 - upper) * half
@@ -149,24 +159,29 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, n_words: int, id_col: str, text_col: str, by_shingles: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: id, fp of each row, and fp, root (least fingerprint that is reachable), component_id of each fingerprint.
+    """id, key, fp of each row (a stored table), and the same with root (the least fingerprint that is reachable) and component_id.
     by_shingles: fingerprints are linked by the similarity of their texts, too."""
-    if by_shingles:
-        from . import similar
-
-        sketched = stored(similar.sketches(docs, n_words, id_col, text_col), "sketches")
-        fps = sketched.select("id", "fp")
-    else:
-        fps = stored(fingerprints(docs, n_words, id_col, text_col), "fps")
-    groups = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "groups")
-    found = links(groups)
-    if by_shingles:
-        found = stored(found, "links")
-        found = found.union(similar.links(sketched, found))
-    roots = components(found)
-    named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps, stored(named.join(least, "root").select("fp", "root", "component_id"), "classes")
+    with scratch() as keep:
+        if by_shingles:
+            from . import similar
+
+            sketched = stored(similar.sketches(docs, n_words, id_col, text_col), "sketches")
+            fps = stored(sketched.select("id", "key", "fp"), "fps")
+        else:
+            fps = stored(fingerprints(docs, n_words, id_col, text_col), "fps")
+        groups = stored(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "groups")
+        found = stored(links(groups), "links")
+        if by_shingles:
+            found = found.union(similar.links(sketched, found))
+        roots = components(found)
+        named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+        named = stored(named, "roots")
+        least = stored(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+        classes = join_hot(named.select("fp", "root"), least.select("root", "component_id"), ["root"], least, groups.count())
+        classes = stored(classes, "classes")
+        keep(fps, classes, groups)
+    total = fps.count()
+    return fps, join_hot(fps, classes, ["fp"], groups, total)
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,8 +191,8 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", t
     empty texts have the fingerprint zero and link like any other. Repeated rows are repeated. A null id gets a row, but
     is no component's id unless all of its ids are null. An empty table gives no rows.
     """
-    fps, classes = _classes(docs, n_words, id_col, text_col)
-    return fps.join(classes, "fp").select(
+    _, classed = _classes(docs, n_words, id_col, text_col)
+    return classed.select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
@@ -185,22 +200,20 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", t
 
 
 def deduplicated(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", text_col: str = "text", by_shingles: bool = False) -> DataFrame:
-    """The rows, with all their columns, that stand for their component: the one with the least id.
+    """The rows, with all their columns, that stand for their component: of each component the one with the least id.
 
     by_shingles: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are linked as well as near fingerprints.
 
-    Rows that repeat an id and a text are one document and leave one row. Rows with a null id stay only where no row of the component
-    has an id, and then one of them does. Texts are shuffled once, by id, to meet the list of those that stay.
+    Rows that repeat an id and a text are one document and leave one row; of an id's different texts each belongs to its own component, and if several
+    are in one component, one of them stays. A null id comes after all others. Texts are shuffled once, by id and text hash, to meet the list of those that stay.
     """
-    fps, classes = _classes(docs, n_words, id_col, text_col, by_shingles)
-    stay = fps.join(classes, "fp").filter("id = component_id").select("id").distinct()
-    out = docs.join(stay, docs[id_col] == stay.id, "left_semi")
-    if not fps.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
+    fps, classed = _classes(docs, n_words, id_col, text_col, by_shingles)
+    # Partial minima come before the shuffle, so a large component is no hot key.
+    stay = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key")).alias("one"))
+    stay = stay.select(F.col("one.id").alias("stay_id"), F.col("one.key").alias("stay_key"))
+    stay = stored(stay, "stay")
+    same = docs[id_col].cast("long").eqNullSafe(stay.stay_id) & (text_key(text_col) == stay.stay_key)
+    out = docs.join(stay, same, "left_semi")
+    if not fps.groupBy("id", "key").count().filter("count > 1").isEmpty():
         out = out.dropDuplicates([id_col, text_col])
-    if not fps.filter("id is null").isEmpty():
-        nameless = docs.filter(F.col(id_col).isNull()).withColumn("_row", F.monotonically_increasing_id())
-        nameless = stored(nameless, "nameless")
-        marked = fingerprints(nameless, n_words, "_row", text_col).join(classes.filter("component_id is null"), "fp")
-        one = marked.groupBy("root").agg(F.min("id").alias("one"))
-        out = out.unionByName(nameless.join(one, nameless["_row"] == one["one"], "left_semi").drop("_row"))
     return out

@@ -16,9 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, join_hot, stored
 from .components import components
-from .simhash import fingerprint
+from .simhash import fingerprint, named
 
 N_WORDS = 5
 #: Similarity of the links, as a fraction.
@@ -58,12 +58,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, fp (the fingerprint of n_words-word shingles), alike (equal sets of shingles; null without words), size, keys, body (the words), row."""
+    """id, key (a hash of the text), fp (the fingerprint of n_words-word shingles), alike (equal sets of shingles; null without words), size, keys, body (the words), row."""
 
     def of(batches):
         for batch in bounded_batches(batches):
             out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 hashes = shingles(words)
                 some = len(hashes) > 0
@@ -71,10 +71,9 @@ def sketches(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataF
                 out.append((fingerprint(text, n_words), alike, len(hashes), band_keys(hashes) if some else [], b" ".join(words)))
             fps, alike, sizes, keys, bodies = zip(*out, strict=True) if out else ([],) * 5
             columns = [pa.array(fps, pa.int64()), pa.array(alike, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "fp", "alike", "size", "keys", "body"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "key", "fp", "alike", "size", "keys", "body"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = slim.mapInArrow(of, "id long, fp long, alike long, size long, keys array<long>, body binary")
+    made = docs.select(*named(id_col, text_col)).mapInArrow(of, "id long, key long, fp long, alike long, size long, keys array<long>, body binary")
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -133,12 +132,14 @@ def links(sketched: DataFrame, known: DataFrame) -> DataFrame:
     equal = texts.select("alike", F.col("fp").alias("b")).distinct().join(uneven, "alike").filter("a <> b").select("a", "b")
     members = sketched.select("row", "fp", "size", "keys").join(one.select("row"), "row", "left_semi")
     work = members.select("row", "fp", "size", F.explode("keys").alias("key"))
-    counts = work.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(work.join(counts, "key"), "shared")
+    counts = stored(work.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    total = BANDS * one.count()
+    shared = stored(join_hot(work, counts, ["key"], counts, total), "shared")
     pairs = _pairs(shared.filter(F.col("n") <= FEW).withColumn("root", F.col("row")))
     many = shared.filter(F.col("n") > FEW).drop("n")
     pivot = [F.min_by(F.struct("row", "size"), F.xxhash64("row", F.lit(k))) for k in range(PIVOTS)]
-    stars = many.join(many.groupBy("key").agg(F.array(*pivot).alias("pivots")), "key").withColumn("pivot", F.explode("pivots"))
+    pivots = stored(many.groupBy("key").agg(F.array(*pivot).alias("pivots")), "pivots")
+    stars = join_hot(many, pivots, ["key"], counts, total).withColumn("pivot", F.explode("pivots"))
     stars = stars.filter((F.col("row") != F.col("pivot.row")) & _fits(F.col("size"), F.col("pivot.size")))
     stars = stars.select(F.least("row", "pivot.row").alias("a"), F.greatest("row", "pivot.row").alias("b"))
     found = equal.union(_verified(sketched, pairs.union(stars).distinct()))

@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from edgeloom.llm import simhash
+from edgeloom.llm import common, simhash
 from edgeloom.llm.components import components
 
 
@@ -103,3 +103,29 @@ def test_deduplicated(spark):
     assert sorted(ids) == sorted(want)
     assert [r.text for r in kept if r.doc_id is None] == ["only here and now"]
     assert kept[0].asDict().keys() == {"doc_id", "text", "id"}
+
+
+def test_deduplicated_repeated_ids_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, a, 0), (5, b, 0), (5, a, 0), (None, b, 0), (7, a, 1), (7, a, 2)], "doc_id long, text string, _row int")
+    kept = simhash.deduplicated(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (5, b)]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "_row"}
+
+
+def test_a_node_with_very_many_links(spark):
+    hub = [(k, 3) for k in range(10, 5000)] + [(k, 7000) for k in range(6000, 6900)] + [(20, 7000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(hub, "a long, b long")).collect()}
+    assert set(got.values()) == {3} and len(got) == len({x for e in hub for x in e})
+
+
+@pytest.mark.parametrize("hot", [1 / 1000, 0.2, 2])
+def test_join_hot_is_a_join(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(300)] + [(None, 1)], "key long, v long")
+    table = spark.createDataFrame([(k, k * k) for k in range(6)], "key long, square long")
+    with common.scratch():
+        counts = common.stored(rows.groupBy("key").count().withColumnRenamed("count", "n"), "counts")
+        got = common.join_hot(rows, table, ["key"], counts, 301)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(table, "key").collect()))
+    assert counts._stored_at not in common._tables
