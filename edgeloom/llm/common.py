@@ -112,6 +112,8 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFra
     """rows and table joined on keys, which are unique in table. counts: a stored table of the keys with n, the number of their rows; total: of all rows.
     Hot keys, 1 / HOT at most, meet their rows by broadcast, so these stay where they are; all others meet by a shuffle."""
     hot = counts.filter(F.col("n") >= max(2.0, total * HOT)).select(*keys)
+    # The plan is the same at every size.
+    table = table.hint("merge")
     if hot.isEmpty():
         return rows.join(table, keys)
     hot = F.broadcast(hot)
