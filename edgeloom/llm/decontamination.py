@@ -15,23 +15,35 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, kept_rows
 
+#: Letters of scripts that are written without spaces (Thai to Lao, Burmese, Khmer, kana, Han). Each is a token.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED = re.compile(f"[{_UNSPACED}]")
 TOKEN = re.compile(r"[^\W_]+")
-#: Tokens of a seed and of the shortest tile.
+TOKEN_OR_LETTER = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W_])+")
+#: Tokens of a seed and of the shortest tile; shorter items are their own seed.
 MATCH = 5
 #: Share of an item's tokens that tiles must cover.
 COVERAGE = 0.5
-#: Characters of benchmark text that are broadcast at once; a larger benchmark takes more passes over the documents.
+#: Characters of benchmark text that are broadcast at once, as about 100 MB of arrays; a larger benchmark takes more passes over the documents.
 BLOCK_CHARS = 20_000_000
+#: Words of documents that a worker remembers.
+REMEMBERED = 300_000
 BASE = 1_000_003
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
+    text = (text or "").lower()
+    return (TOKEN_OR_LETTER if UNSPACED.search(text) else TOKEN).findall(text)
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
 def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
@@ -112,62 +124,104 @@ def tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, in
 
 
 class Benchmark:
-    """Items as whole numbers for tokens, and where each seed stands in them. Items with fewer tokens than a seed can't be found."""
+    """Items in flat arrays: the hashes of their words in order, their tokens as places among these, and where each seed stands."""
 
     def __init__(self, items, match: int = MATCH):
         """items: (id, text)."""
         self.match = match
-        self.words: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        seeds: dict[int, set[int]] = defaultdict(set)
+        self.ids, lines = [], []
         for item, text in items:
-            words = [self.words.setdefault(w, len(self.words) + 1) for w in tokens_of(text)]
-            if len(words) >= match:
-                for h in _rolling(np.array(words), match).tolist():
-                    seeds[h].add(len(self.items))
-                self.items.append((item, words))
-        self.seeds = dict(seeds)
-        self.hashes = np.array(sorted(self.seeds), np.uint64)
-
-    def hits(self, text: str | None):
-        """(item id, coverage, tiles, longest tile, tokens) of each item that shares a seed with the text, whole."""
-        if not len(self.hashes) or not text:
-            return
-        get = self.words.get
-        ids = np.array([get(w, -1) for w in TOKEN.findall(text.lower())], np.int64)
-        values = _rolling(ids, self.match)
-        if not len(values):
+            if words := tokens_of(text):
+                self.ids.append(item)
+                lines.append(_hashed(words))
+        self.sizes = np.array(list(map(len, lines)), np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        flat = np.concatenate(lines) if lines else np.zeros(0, np.uint64)
+        del lines
+        self.words, places = np.unique(flat, return_inverse=True)
+        self.tokens = (places + 1).astype(np.int32)
+        of = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+        left = np.repeat(self.starts[1:], self.sizes) - np.arange(len(flat))
+        #: By length of a seed: the hashes of all runs of that length, in order, and the items that they stand in. Runs shorter than match are whole items.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({min(match, int(x)) for x in np.unique(self.sizes)}):
+            at = np.flatnonzero(left >= n) if n == match else self.starts[:-1][self.sizes == n]
+            at = at[self.sizes[of[at]] >= match] if n == match else at
+            hashes = _rolling(self.tokens, n)[at]
+            order = np.argsort(hashes, kind="stable")
+            self.seeds[n] = hashes[order], of[at][order]
+        self._known: dict[str, int] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_known": {}}
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Tokens as places among the benchmark's words, -1 for others."""
+        known = self._known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = list(dict.fromkeys(words))
+            hashes = _hashed(new)
+            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            known.update(zip(new, np.where(self.words[at] == hashes, at + 1, -1).tolist(), strict=True))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def hits(self, text: str | None, least: float = 0.0):
+        """(item id, coverage, tiles, longest tile, tokens) of each item that shares a seed with the text, whole, without those whose coverage can't reach least."""
+        if not len(self.ids) or not text:
             return
+        ids = self._places(tokens_of(text))
         known = np.cumsum(np.concatenate(([0], ids >= 0)))
-        values[known[self.match :] - known[: -self.match] < self.match] = 0
-        at = np.searchsorted(self.hashes, values)
-        at[at == len(self.hashes)] = 0
-        places = np.nonzero((self.hashes[at] == values) & (known[self.match :] - known[: -self.match] == self.match))[0]
-        if not len(places):
-            return
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for p, h in zip(places.tolist(), values[places].tolist(), strict=True):
-            for k in self.seeds[h]:
-                by_item[k].append(p)
-        for k, starts in sorted(by_item.items()):
+        for n, (hashes, items) in self.seeds.items():
+            if len(ids) < n:
+                continue
+            whole = np.flatnonzero(known[n:] - known[:-n] == n)
+            if not len(whole):
+                continue
+            values = _rolling(ids, n)[whole]
+            at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
+            hit = hashes[at] == values
+            if hit.any():
+                yield from self._tiled(ids, n, whole[hit], values[hit], least)
+
+    def _tiled(self, ids, n, places, values, least):
+        hashes, items = self.seeds[n]
+        different, which = np.unique(values, return_inverse=True)
+        lows, highs = np.searchsorted(hashes, different), np.searchsorted(hashes, different, "right")
+        counts = highs - lows
+        rows = np.repeat(lows - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        of, seed = items[rows], np.repeat(np.arange(len(different)), counts)
+        order = np.argsort(of, kind="stable")
+        of, seed = of[order], seed[order]
+        borders = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+        for low, high in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            k = int(of[low])
+            size = int(self.sizes[k])
+            # A tile of t tokens holds t - n + 1 seeds of the item, and t is at most n times that.
+            if n * (high - low) < least * size:
+                continue
+            mine = np.zeros(len(different), bool)
+            mine[seed[low:high]] = True
+            starts = places[mine[which]].tolist()
             # Each tile lies within a run of seeds, so the rest of the document can be left out.
-            item, words = self.items[k]
             line: list[int] = []
             copies: Counter = Counter()
             begin = end = starts[0]
             for p in [*starts[1:], None]:
-                if p is not None and p <= end + self.match:
+                if p is not None and p <= end + n:
                     end = p
                     continue
-                part = ids[begin : end + self.match].tolist()
+                part = ids[begin : end + n].tolist()
                 # An item has room for so many tiles, so it can't use further copies of a run.
                 copies[tuple(part)] += 1
-                if copies[tuple(part)] <= len(words) // self.match:
+                if copies[tuple(part)] <= size // n:
                     line += [*part, -1]
                 begin = end = p
-            got = tiles(words, line, self.match)
-            covered = sum(n for _, _, n in got)
-            yield item, covered / len(words), len(got), max((n for _, _, n in got), default=0), len(words)
+            got = tiles(self.tokens[self.starts[k] : self.starts[k + 1]].tolist(), line, n)
+            covered = sum(t for _, _, t in got)
+            yield self.ids[k], covered / size, len(got), max((t for _, _, t in got), default=0), size
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
@@ -186,7 +240,8 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, match: int = MATCH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Pairs of a document and an item whose tiles cover `coverage` of it or more: doc_id, item_id, coverage, n_tiles, longest, n_tokens.
 
-    Null and empty texts and items with fewer than `match` tokens have no pair; repeated rows have a pair each; null ids stay
+    Null and empty texts and items without a token have no pair; an item with fewer than `match` tokens has a pair with a document that holds all of it in a row;
+    letters of scripts without spaces are tokens each. Repeated rows have a pair each; null ids stay
     null; empty tables give no rows; further columns are ignored. Documents are read whole, and are not shuffled.
     """
     spark = docs.sparkSession
@@ -198,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
         def run(batches, shared=shared):
             for batch in bounded_batches(batches):
-                rows = [(d, *hit) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in shared.value.hits(text) if hit[1] >= coverage]
+                rows = [(d, *hit) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in shared.value.hits(text, coverage) if hit[1] >= coverage]
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "coverage", "n_tiles", "longest", "n_tokens"])
 
@@ -213,7 +268,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, mat
         shared = spark.sparkContext.broadcast(Benchmark(block, match))
 
         def decide(shared=shared):
-            return lambda texts: [not any(hit[1] >= coverage for hit in shared.value.hits(x)) for x in texts]
+            return lambda texts: [not any(hit[1] >= coverage for hit in shared.value.hits(x, coverage)) for x in texts]
 
         docs = kept_rows(docs, text_col, decide)
     return docs

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 from edgeloom.llm import decontamination as dec
@@ -70,6 +71,36 @@ def test_documents(spark, monkeypatch):
     assert sorted(map(str, dec.contaminated(docs, items).collect())) == sorted(map(str, got))
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese, thai = "我们的城市在大雨之后被河水淹没了许多天", "น้ำท่วมเมืองหลังฝนตกหนัก"
+    items = [(1, "a b c d"), (2, "Only"), (3, chinese), (4, thai), (5, "…"), (6, "x y z")]
+    docs = [(1, "x a b, c d y"), (2, "x a b c y d only"), (3, f"他说{chinese}。"), (4, f"{chinese[10:]}，后来{chinese[:10]}"), (5, chinese[:6]), (6, thai * 2), (7, "x y"), (8, "…"), (9, "z x y z x y")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in dec.contaminated(*frames).collect()}
+    assert got == {(1, 1): 1, (2, 2): 1, (3, 3): 1, (4, 3): 1, (6, 4): 1, (9, 6): 1}
+    assert sorted(r.doc_id for r in dec.clean(*frames).collect()) == [5, 7, 8]
+
+
+def test_items_that_cannot_reach_the_coverage_are_left_out_rightly():
+    rnd = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(12)]
+    for _ in range(300):
+        items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 25)))) for k in range(12)]
+        doc = " ".join(w for _ in range(6) for w in rnd.choice(items)[1].split()[rnd.randint(0, 8) :][: rnd.randint(1, 20)])
+        index = dec.Benchmark(items)
+        for least in (0.3, 0.5, 0.9):
+            assert [h for h in index.hits(doc, least) if h[1] >= least] == [h for h in index.hits(doc) if h[1] >= least]
+
+
+def test_an_index_takes_little_memory():
+    """A block of the full size: measured as what the index pickles to, which is what a worker holds."""
+    rnd = random.Random(1)
+    text = lambda: " ".join(f"{rnd.randrange(10**7):06d}" for _ in range(500))
+    n = dec.BLOCK_CHARS // 10 // 3500
+    size = len(pickle.dumps(dec.Benchmark((k, text()) for k in range(n))))
+    assert size * 10 < 150e6
+
+
 def test_empty_tables(spark):
     docs, items = frames(spark)
     assert dec.contaminated(docs.limit(0), items).count() == dec.contaminated(docs, items.limit(0)).count() == 0
