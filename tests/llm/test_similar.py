@@ -27,9 +27,10 @@ def texts():
     return out + ["a b c d", "A  b c d", "a b c", "x y " * 30, "x y " * 31, "", None, " ", out[0].upper()]
 
 
-@pytest.mark.parametrize("few", [8, 2])
-def test_similar_texts_leave_one_row(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "indexed"), [(8, 1 << 21), (2, 1 << 21), (2, 300)])
+def test_similar_texts_leave_one_row(spark, monkeypatch, few, indexed):
     monkeypatch.setattr(similar, "FEW", few)
+    monkeypatch.setattr(similar, "INDEXED", indexed)
     docs = list(enumerate(texts()))
     sets = {i: plain_shingles(t) for i, t in docs}
     fps = {i: plain_fingerprint(t) for i, t in docs}
