@@ -1,8 +1,8 @@
 """WARC archives written and read as a table of chunks.
 
-A record's payload never has to be in memory as a whole when it is read: it is streamed as rows (record id, chunk number), each
-with the digest of the payload up to its end. Writing streams slices of the payload into a gzip member, as WARC asks
-for. Archives go to the folder that all executors share; a file gets its name only when it is complete, and only
+Payloads are tables of chunks, rows (record id, chunk number), both ways. The writer takes them one by one into a gzip member, as WARC asks for, and carries a
+digest that must be the declared one at the end; the reader gives each with the digest of the payload up to its end. So Python never holds a record's payload
+as a whole. Archives go to the folder that all executors share; a file gets its name only when it is complete, and only
 files that a finished task reports are read, so tasks can be lost and run again.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, shared_folder, stored
+from .common import partitions, remember, shared_folder, stored
 
 #: Payload bytes of a chunk.
 CHUNK = 1 << 20
@@ -90,33 +90,52 @@ class _Counted(io.RawIOBase):
         return len(data)
 
 
-def write_record(out, record_id: str, kind: str, url: str | None, payload: memoryview, digest: str, n_bytes: int, refers_to: str | None, date: str) -> None:
-    """One record as a gzip member. kind: response or revisit; a revisit has no payload, but its length and digest."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
-    length = len(http) + (n_bytes if kind == "response" else 0)
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response"]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {_uri_safe(url)}")
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {n_bytes}"]
-    if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_to}>"]
-    head += [f"Content-Length: {length}", "", ""]
-    # Not a GzipFile: each is part of a reference cycle, and so keeps its buffers until the collector happens to run.
-    member = zlib.compressobj(1, zlib.DEFLATED, 31)
-    out.write(member.compress("\r\n".join(head).encode() + http))
-    if kind == "response":
-        for at in range(0, len(payload), CHUNK):
-            out.write(member.compress(payload[at : at + CHUNK]))
-    out.write(member.compress(b"\r\n\r\n") + member.flush())
-
-
-def write(records: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """records: record_id, url, payload (binary), sha1 (hex of the payload), refers_to (null: a response). Writes archives into folder
-    and returns a stored table: archive, n_records. Each task writes its own archives; none is shared."""
+class _Record:
+    """One record as a gzip member, written chunk by chunk. kind: response or revisit; a revisit has no payload, but its length and digest."""
+
+    def __init__(self, out, record_id: str, kind: str, url: str | None, digest: str, n_bytes: int, refers_to: str | None, date: str):
+        self.out, self.record_id, self.kind, self.digest, self.left = out, record_id, kind, digest, n_bytes if kind == "response" else 0
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
+        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response"]
+        if url is not None:
+            head.append(f"WARC-Target-URI: {_uri_safe(url)}")
+        head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {n_bytes}"]
+        if kind == "revisit":
+            head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_to}>"]
+        head += [f"Content-Length: {len(http) + self.left}", "", ""]
+        # Not a GzipFile: each is part of a reference cycle, and so keeps its buffers until the collector happens to run.
+        self.member = zlib.compressobj(1, zlib.DEFLATED, 31)
+        self.running = hashlib.sha1(usedforsecurity=False)
+        out.write(self.member.compress("\r\n".join(head).encode() + http))
+
+    def add(self, data) -> None:
+        self.left -= len(data)
+        self.running.update(data)
+        self.out.write(self.member.compress(data))
+
+    def close(self) -> None:
+        if self.left or (self.kind == "response" and _base32(self.running.digest()) != self.digest):
+            raise ValueError(f"{self.record_id}: its chunks aren't its declared payload")
+        self.out.write(self.member.compress(b"\r\n\r\n") + self.member.flush())
+
+
+def chunked(records: DataFrame) -> DataFrame:
+    """records: record_id, url, payload (binary), sha1 (hex of the payload), refers_to (null: a response). A row for each chunk of a response, one without data for an empty one
+    and for a revisit; the rows of a record follow each other in order."""
+    n = F.octet_length("payload").cast("long")
+    last = F.when(F.col("refers_to").isNull(), F.greatest(F.lit(0), F.ceil(n / CHUNK) - 1)).otherwise(0).cast("int")
+    data = lambda k: F.when(F.col("refers_to").isNull(), F.substring("payload", k * CHUNK + 1, F.lit(CHUNK)))
+    rows = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("chunk_no"), (k == last).alias("is_last"), data(k).alias("data")))
+    return records.select("record_id", "url", "sha1", "refers_to", n.alias("n_bytes"), F.inline(rows))
+
+
+def write(chunks: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+    """chunks: what chunked() gives. Writes archives into folder and returns a stored table: archive, n_records. Each task writes its own archives; none is shared.
+    A record whose chunks don't have its declared digest raises an error."""
 
     def run(batches):
         place = _Place(folder)
-        name = out = None
+        name = out = record = None
         n = 0
 
         def close():
@@ -124,24 +143,28 @@ def write(records: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -
             place.rename(f"{name}.open", name)
             return pa.RecordBatch.from_pydict({"archive": [name], "n_records": pa.array([n], pa.int64())})
 
-        for batch in bounded_batches(batches):
-            ids, urls, payloads, digests, refers = batch.columns
+        for batch in batches:
+            ids, urls, digests, refers, sizes, numbers, lasts, datas = batch.columns
             for k in range(len(batch)):
                 if out is None:
                     name, n = f"part-{uuid.uuid4().hex}.warc.gz", 0
                     out = _Counted(place.writer(f"{name}.open"))
-                data = payloads[k].as_buffer()
-                to = refers[k].as_py()
-                view = memoryview(data) if data is not None else memoryview(b"")
-                write_record(out, ids[k].as_py(), "revisit" if to else "response", urls[k].as_py(), view, _base32(bytes.fromhex(digests[k].as_py())), len(view), to, date)
-                n += 1
-                if out.n >= ARCHIVE:
-                    yield close()
-                    out = None
+                if not numbers[k].as_py():
+                    to = refers[k].as_py()
+                    record = _Record(out, ids[k].as_py(), "revisit" if to else "response", urls[k].as_py(), _base32(bytes.fromhex(digests[k].as_py())), sizes[k].as_py(), to, date)
+                data = datas[k].as_buffer()
+                if data is not None:
+                    record.add(memoryview(data))
+                if lasts[k].as_py():
+                    record.close()
+                    n += 1
+                    if out.n >= ARCHIVE:
+                        yield close()
+                        out = None
         if out is not None:
             yield close()
 
-    return stored(records.select("record_id", "url", "payload", "sha1", "refers_to").mapInArrow(run, "archive string, n_records long"), "manifest")
+    return stored(chunks.select("record_id", "url", "sha1", "refers_to", "n_bytes", "chunk_no", "is_last", "data").mapInArrow(run, "archive string, n_records long"), "manifest")
 
 
 def _headers(stream) -> dict[str, str]:
@@ -219,25 +242,40 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, with_data: bool
 
 
 def records_of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """What write() takes. Of records with equal payloads of least_bytes or more the one with the largest id is a response and
-    the others refer to it; a row with a null id, or one that repeats the largest id, is a response."""
+    """What chunked() takes. Of records with equal payloads of least_bytes or more the one with the largest id is a response and
+    the others refer to it; a row with a null id, or one that repeats the largest id, is a response. A record's id is made of the page's id and the row's place, so that
+    repeated rows and null ids have ids of their own."""
     payload = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
-    base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    slim = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"))
-    same = slim.filter(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
-    same = stored(same.select("sha1", "first"), "same")
+    base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"), F.monotonically_increasing_id().alias("row"))
+    slim = base.select("id", "sha1", "row", F.octet_length("payload").alias("n"))
+    # Of rows with the largest id the first is referred to.
+    best = F.max_by(F.struct("id", "row"), F.struct("id", (-F.col("row")).alias("up")))
+    same = slim.filter((F.col("n") >= least_bytes) & F.col("id").isNotNull()).groupBy("sha1").agg(best.alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same = stored(same.select("sha1", F.col("to.id").alias("to_id"), F.col("to.row").alias("to_row")), "same")
     if same.count() <= MOST_BROADCAST:
         joined = base.join(F.broadcast(same), "sha1", "left")
     else:
         # A payload can be that of a third of all pages, so its rows are dealt to several tasks.
         spread = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
         joined = base.withColumn("salt", salt).join(spread, ["sha1", "salt"], "left").drop("salt")
-    urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
-    refers = F.when(F.col("id") != F.col("first"), urn(F.col("first")))
+    urn = lambda page, row: F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"))
+    refers = F.when(F.col("id") != F.col("to_id"), urn(F.col("to_id"), F.col("to_row")))
     if least_bytes:
         refers = F.when(F.octet_length("payload") >= least_bytes, refers)
-    return joined.select(urn(F.col("id")).alias("record_id"), "url", "payload", "sha1", refers.alias("refers_to"))
+    return joined.select(urn(F.col("id"), F.col("row")).alias("record_id"), "url", "payload", "sha1", refers.alias("refers_to"))
+
+
+def _wrong(rows: DataFrame) -> str | None:
+    """An id that one of these records gets wrong: it is not the only record of this id, its payload hasn't the declared digest, or it is a revisit of a record that isn't a
+    response with its digest and length. rows: the last chunks. Partial sums come first, so a record that very many revisit is no hot key."""
+    key = F.coalesce("refers_to", "record_id").alias("key")
+    responses = F.sum((F.col("record_type") == "response").cast("int"))
+    differ = lambda c: F.min(c) != F.max(c)
+    broken = F.max((F.col("record_type") == "response") & ~F.col("digest_so_far").eqNullSafe(F.col("declared_digest")))
+    bad = rows.groupBy(key).agg((differ("declared_digest") | differ("payload_bytes") | (responses != 1) | broken).alias("bad")).filter(F.coalesce("bad", F.lit(True)))
+    found = bad.first()
+    return found.key if found else None
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -245,17 +283,21 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     payload_bytes, payload_digest, record_type, refers_to, url.
 
     Null html is an empty payload, null urls have no header, null ids stay null, repeated rows have a record each, no pages
-    give no rows; further columns are ignored. A payload that doesn't have its declared digest raises an error.
+    give no rows; further columns are ignored. A payload that doesn't have its declared digest, and a revisit that doesn't have the digest and length of the response
+    that it names, raise an error.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    rows = read(spark, write(records_of_pages(pages), folder), folder, with_data=False).filter("is_last")
-    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
-    right = F.when(F.col("digest_so_far") == F.col("declared_digest"), F.col("digest_so_far"))
+    if folder is None:
+        folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+        remember(folder)
+    rows = stored(read(spark, write(chunked(records_of_pages(pages)), folder), folder, with_data=False).filter("is_last").drop("data"), "records")
+    if wrong := _wrong(rows):
+        raise ValueError(f"{wrong} or a revisit of it was not read back as it was written")
+    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+):\d+$", 1).try_cast("long")
     return rows.select(
         number("record_id").alias("page_id"),
         "payload_bytes",
-        F.coalesce(right, F.raise_error(F.concat(F.lit("wrong digest in "), F.col("record_id"))).cast("string")).alias("payload_digest"),
+        F.col("declared_digest").alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
         F.col("target_uri").alias("url"),

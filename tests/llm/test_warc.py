@@ -32,11 +32,16 @@ def test_round_trip(spark, monkeypatch, most_broadcast):
 def test_chunks_and_archives(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(*p, b"", 1) for p in PAGES], SCHEMA)
     folder = f"file://{tmp_path}/warc"
-    manifest = warc.write(warc.records_of_pages(rows).coalesce(1), folder)
+    written = warc.chunked(warc.records_of_pages(rows)).coalesce(1)
+    assert written.selectExpr("max(octet_length(data))").first()[0] == warc.CHUNK
+    manifest = warc.write(written, folder)
     assert manifest.selectExpr("sum(n_records)").first()[0] == len(PAGES)
-    chunks = warc.read(spark, manifest, folder).filter("record_id = 'urn:page:6'").orderBy("chunk_no").collect()
+    every = warc.read(spark, manifest, folder)
+    assert every.groupBy("record_id", "chunk_no").count().filter("count > 1").count() == 0
+    assert every.select("record_id").distinct().count() == len(PAGES)
+    chunks = every.filter("record_id like 'urn:page:6:%'").orderBy("record_id", "chunk_no").collect()
     assert len(chunks) == 2 * 5 and sum(c.is_last for c in chunks) == 2
-    one = chunks[::2]
+    one = chunks[:5]
     assert b"".join(c.data for c in one) == b"x" * 5_000_000 and [c.offset for c in one] == [k * warc.CHUNK for k in range(5)]
     so_far = b""
     for c in one:
@@ -53,20 +58,49 @@ def test_smaller_payloads_are_all_responses(spark):
     assert warc.records_of_pages(rows, least_bytes=5).filter("refers_to is not null").count() == 0
 
 
-def test_damaged_archives_are_noticed():
+def archive(*records):
+    """(id, kind, payload, declared digest, declared length, refers to) as plain WARC bytes."""
     out = io.BytesIO()
-    warc.write_record(out, "urn:page:1", "response", "u", memoryview(b"abc"), digest("abc"), 3, None, "2000-01-01T00:00:00Z")
-    plain = gzip.decompress(out.getvalue())
+    for name, kind, payload, declared, size, to in records:
+        record = warc._Record(out, name, kind, "u", declared, size, to, "2000-01-01T00:00:00Z")
+        record.add(payload)
+        record.running = type("", (), {"digest": lambda _, d=declared: base64.b32decode(d)})()
+        record.left = 0
+        record.close()
+    return gzip.decompress(out.getvalue())
+
+
+def test_damaged_archives_are_noticed():
+    plain = archive(("urn:page:1:0", "response", b"abc", digest("abc"), 3, None))
     assert [r[4] for r in warc.chunks_of(io.BytesIO(plain), "a")] == [digest("abc")]
     with pytest.raises(EOFError):
         list(warc.chunks_of(io.BytesIO(plain[:-6]), "a"))
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="no record"):
         list(warc.chunks_of(io.BytesIO(b"no record\r\n"), "a"))
 
 
-def test_wrong_digest_raises(spark, tmp_path):
-    folder = f"file://{tmp_path}/warc"
-    rows = warc.records_of_pages(spark.createDataFrame([(1, "u", "abc", b"", 1)], SCHEMA)).selectExpr("record_id", "url", "payload", "sha1('other') sha1", "refers_to")
-    manifest = warc.write(rows, folder)
-    got = warc.read(spark, manifest, folder).first()
-    assert got.digest_so_far == digest("abc") != got.declared_digest == digest("other")
+def test_chunks_must_be_the_declared_payload():
+    record = warc._Record(io.BytesIO(), "r", "response", "u", digest("abc"), 3, None, "2000-01-01T00:00:00Z")
+    record.add(b"abd")
+    with pytest.raises(ValueError, match="declared"):
+        record.close()
+
+
+A, B = ("a", "response", b"abc", digest("abc"), 3, None), ("b", "revisit", b"", digest("abc"), 3, "a")
+
+
+@pytest.mark.parametrize(
+    ("records", "wrong"),
+    [
+        ([A, B], None),
+        ([A, ("b", "revisit", b"", digest("abd"), 3, "a")], "a"),
+        ([A, ("b", "revisit", b"", digest("abc"), 4, "a")], "a"),
+        ([A, ("b", "revisit", b"", digest("abc"), 3, "z")], "z"),
+        ([A, A], "a"),
+        ([("a", "response", b"abc", digest("abd"), 3, None)], "a"),
+    ],
+)
+def test_revisits_and_digests_are_verified(spark, records, wrong):
+    last = [r[:3] + r[4:] for r in warc.chunks_of(io.BytesIO(archive(*records)), "x") if r[5]]
+    schema = ", ".join(c for c in warc.CHUNKS.split(", ") if not c.startswith("data "))
+    assert warc._wrong(spark.createDataFrame(last, schema)) == wrong
