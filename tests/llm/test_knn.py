@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -30,7 +31,7 @@ def vectors(n, dim, seed, spread=0.05):
     return [(k, (centres[k % 6] + spread * rnd.normal(size=dim)).tolist()) for k in range(n)]
 
 
-@pytest.mark.parametrize("cell, piece, block", [(4096, 8192, 2048), (20, 16, 3)])
+@pytest.mark.parametrize(("cell", "piece", "block"), [(4096, 16384, 8192), (20, 16, 3)])
 def test_against_brute_force(spark, monkeypatch, cell, piece, block):
     for name, x in (("CELL", cell), ("PIECE", piece), ("BLOCK", block), ("POOL", 64)):
         monkeypatch.setattr(knn, name, x)
@@ -44,6 +45,41 @@ def test_far_groups_are_left_out(spark, monkeypatch):
     rows = vectors(600, 4, 3, spread=0.01)
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], SCHEMA)
     assert sorted(tuple(r) for r in knn.top_k(frame, k=3).collect()) == brute(rows, 3, 20)
+    assert knn.pruned_share(frame, k=3) > 0.5
+
+
+def test_repeated_ids(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [2.0, 3.0]
+    same = [(20, a), (20, a), (1, c), (2, b)]
+    assert asked(spark, same, k=3) == [(20, 1, 1, 64 * 128), (20, 2, 2, 0)]
+    differ = [(20, a), (20, b), (1, c), (1, c), (2, b)]
+    assert asked(spark, differ, k=3) == [(20, 1, 1, 64 * 192), (20, 2, 1, 64 * 192), (20, 3, 1, 64 * 128)]
+
+
+@pytest.mark.parametrize("tile", [knn.TILE, 40])
+def test_best_in_tiles(monkeypatch, tile):
+    monkeypatch.setattr(knn, "TILE", tile)
+    rnd = np.random.default_rng(2)
+    for _ in range(60):
+        q, x = rnd.integers(-3, 4, (rnd.integers(1, 9), 3)).astype(float), rnd.integers(-3, 4, (rnd.integers(1, 60), 3)).astype(float)
+        q_ids, x_ids = rnd.integers(0, 70, len(q)), rnd.permutation(70)[: len(x)]
+        least = rnd.integers(-20, 5, len(q)).astype(float)
+        got = sorted(zip(*(v.tolist() for v in knn._best(q, q_ids, x, x_ids, least, 4)), strict=True))
+        want = []
+        for a in range(len(q)):
+            line = sorted((-int(s), int(i)) for s, i in zip(q[a] @ x.T, x_ids, strict=True) if i != q_ids[a])[:4]
+            want += [(a, i, -s) for s, i in line if -s >= least[a]]
+        assert got == sorted(want)
+
+
+def test_a_full_group_takes_bounded_memory():
+    rnd = np.random.default_rng(0)
+    q, x = rnd.integers(-64, 64, (2048, 64)).astype(float), rnd.integers(-64, 64, (8192, 64)).astype(float)
+    tracemalloc.start()
+    knn._best(q, np.arange(2048), x, np.arange(8192), np.full(2048, -1e9), 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
 
 
 def test_few_and_odd_rows(spark):
