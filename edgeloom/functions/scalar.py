@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a string may look like to be read as a number, after trimming.
-_DECIMAL = re.compile(r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)")
+_DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?)")
+#: What counts as white space.
+_SPACE = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _RADIX = {"0x": 16, "0o": 8, "0b": 2}
 
 
@@ -35,12 +37,12 @@ def regex_find(column: Column, pattern: str) -> Column:
 
 def as_number(text: str) -> float | None:
     """The number that a string is in a loose comparison: trimmed, empty is 0, hexadecimal, octal and binary forms count; None if it is none."""
-    text = text.strip()
+    text = text.strip(_SPACE)
     if not text:
         return 0.0
     if text[:2].lower() in _RADIX:
         try:
-            return None if "_" in text or text[2:3] in "+-" else float(int(text[2:], _RADIX[text[:2].lower()]))
+            return float(int(text[2:], _RADIX[text[:2].lower()])) if re.fullmatch("[0-9a-fA-F]+", text[2:]) else None
         except ValueError:
             return None
     if text.lstrip("+-") == "Infinity" and len(text) <= 9:
@@ -59,14 +61,21 @@ def loose_equal(column: Column, value: str | int | float, number: bool = False)
 
 
 def leading_int(value: Column | str):
-    """The whole number that a string starts with, null if it starts with none: of a column as a column, of a string as an int."""
+    """The whole number that a string starts with, after white space and a sign, decimal or hexadecimal after 0x; null if it starts with none. Of a column as an int column
+    (null beyond its range), of a string as an int."""
+    start = rf"^[{_SPACE}]*"
     if isinstance(value, str):
-        found = re.match(r"\s*([+-]?)(?:0[xX]([0-9a-fA-F]+)|(\d+))", value)
+        found = re.match(start + r"([+-]?)(?:0[xX]([0-9a-fA-F]+)|([0-9]+))", value)
         if not found:
             return None
         number = int(found[2], 16) if found[2] else int(found[3])
         return -number if found[1] == "-" else number
-    return F.regexp_extract(value, r"^\s*([+-]?\d+)", 1).try_cast("int")
+    sign = F.when(F.regexp_extract(value, start + "([+-]?)", 1) == "-", -1).otherwise(1)
+    digits = F.regexp_extract(value, start + "[+-]?0[xX]0*([0-9a-fA-F]+)", 1)
+    # Fifteen digits fit a long; longer ones are beyond an int anyhow.
+    hexadecimal = F.when(F.length(digits) <= 15, F.conv(digits, 16, 10).try_cast("long"))
+    decimal = F.regexp_extract(value, start + "[+-]?([0-9]+)", 1).try_cast("long")
+    return (sign * F.when(digits != "", hexadecimal).otherwise(decimal)).try_cast("int")
 
 
 def default_to(column: Column, other: Column) -> Column:

@@ -12,23 +12,23 @@ ROLES = (ASPECT, "parent_eitza", "child_eitza")
 
 
 def neighbours(edges: DataFrame, null_policy: str = "exclude") -> DataFrame:
-    """A row for each end of each edge: id, role, neighbour; for other kinds of edge role and neighbour are null.
+    """A row for each end of each edge: id, role, neighbour; role and neighbour are null for other kinds of edge and where the other end is missing.
 
-    null_policy: `exclude` leaves out edges with a missing end, `js` takes a missing id as the word null. This is the form for
+    null_policy: `exclude` has no row for a missing id, and it is no neighbour; `js` takes a missing id as the word null. This is the form for
     nodes with more neighbours than a task should hold: nothing is shuffled.
     """
     if null_policy not in ("exclude", "js"):
         raise ValueError(f"no such policy: {null_policy}")
-    rows = edges if null_policy == "js" else edges.filter("node1_id is not null and node2_id is not null")
-    rows = rows.select("type", js_string(F.col("node1_id")).alias("one"), js_string(F.col("node2_id")).alias("two"))
-    role = lambda advice: F.when(F.col("type") == ASPECT, ASPECT).when(F.col("type") == ADVICE, advice)
-    known = F.col("type").isin(ASPECT, ADVICE)
+    name = js_string if null_policy == "js" else (lambda c: c)
+    rows = edges.select("type", name(F.col("node1_id")).alias("one"), name(F.col("node2_id")).alias("two"))
+    known = F.col("type").isin(ASPECT, ADVICE) & F.col("one").isNotNull() & F.col("two").isNotNull()
+    role = lambda advice: F.when(known, F.when(F.col("type") == ASPECT, ASPECT).otherwise(advice))
     end = lambda own, other, advice: F.struct(F.col(own).alias("id"), role(advice).alias("role"), F.when(known, F.col(other)).alias("neighbour"))
-    return rows.select(F.inline(F.array(end("one", "two", "child_eitza"), end("two", "one", "parent_eitza"))))
+    return rows.select(F.inline(F.array(end("one", "two", "child_eitza"), end("two", "one", "parent_eitza")))).filter("id is not null")
 
 
 def adjacency(edges: DataFrame, null_policy: str = "exclude") -> DataFrame:
-    """A row for each node of any kind of edge: id, bechina, parent_eitza, child_eitza, sorted lists with repeated neighbours repeated.
+    """A row for each end of any edge of any kind: id, bechina, parent_eitza, child_eitza, sorted lists with repeated neighbours repeated.
     A node's lists are one row; use neighbours() where these could be too long for one."""
     lists = (F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("neighbour")))).alias(r) for r in ROLES)
     return neighbours(edges, null_policy).groupBy("id").agg(*lists)

@@ -56,11 +56,11 @@ def placed(nodes: DataFrame, seed: int, side: float) -> DataFrame:
     return nodes.withColumns({"x": share(0) * side, "y": share(1) * side})
 
 
-def live_edges(hits: DataFrame) -> DataFrame:
+def live_edges(hits: DataFrame, capped: bool = True) -> DataFrame:
     """Hits with two ends that aren't null or empty, as drawn. Ids are `e` and the place among all hits, so they have gaps.
-    hits: capped ones, as all of them are numbered in one task."""
-    place = F.row_number().over(Window.orderBy("seq")) - 1
-    numbered = hits.withColumn("id", F.concat(F.lit("e"), place.cast("string")))
+    capped: hits are few and are numbered in one task; else they are numbered in ranges."""
+    placed = hits.withColumn("_place", F.row_number().over(Window.orderBy("seq")) - 1) if capped else with_positions(hits, ["seq"], "_place")
+    numbered = placed.withColumn("id", F.concat(F.lit("e"), F.col("_place").cast("string")))
     return numbered.filter(truthy(F.col("node1_id")) & truthy(F.col("node2_id"))).select(
         "id",
         F.col("node1_id").alias("source"),
@@ -77,7 +77,7 @@ def live_edges(hits: DataFrame) -> DataFrame:
 def module_edges(hits: DataFrame, lang: str = "en") -> DataFrame:
     """All hits, with their place in the order (branch, seq) as id and labels in one language."""
     one, two = text_columns(lang)
-    return with_positions(hits, "branch", "seq", "id").select(
+    return with_positions(hits, ["branch", "seq"], "id").select(
         "id",
         F.col("node1_id").alias("source"),
         F.col("node2_id").alias("target"),

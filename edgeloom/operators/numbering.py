@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cuts of the order by which rows are dealt.
-CUTS = 64
+from ..sources.storage import stored
 
 
-def with_positions(rows: DataFrame, group: str | None, order: str, name: str = "position") -> DataFrame:
-    """rows with a position from 0 in the order (group, order). group: a column with few values, or none; order: a whole number.
+#: Rows that one task numbers; more are dealt to ranges.
+FEW = 50_000
 
-    Rows are dealt to buckets at approximate quantiles of order; a position is the number of rows in the buckets before plus the rank
-    in its own. The quantiles are read first and then fixed, so every pass deals rows alike. Rows with equal keys have any
-    order among themselves.
+
+def _range_partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def with_positions(rows: DataFrame, keys: list[str], name: str = "position", within: list[str] | None = None) -> DataFrame:
+    """rows with a position from 0 in the order of keys.
+
+    Rows are dealt to as many ranges as there are shuffle partitions, sorted there and written once; only the number of rows of each range is summed up globally, and a
+    position is the sum of the ranges before plus the place inside its own. Rows with equal keys have any order among themselves. FEW rows or less are numbered by one
+    task instead; to count so far takes a look at no more than FEW of them.
+    within: the first of keys, if rows already are in ranges of these and sorted by keys.
     """
-    cuts = rows.agg(F.percentile_approx(order, [k / CUTS for k in range(1, CUTS)], 10_000)).first()[0] or []
-    bucket = F.lit(0)
-    for cut in sorted(set(cuts)):
-        bucket = bucket + F.when(F.col(order) > cut, 1).otherwise(0)
-    keys = [group, "_bucket"] if group else ["_bucket"]
-    dealt = rows.withColumn("_bucket", bucket)
-    # One row for each group and bucket.
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy(*keys).count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return dealt.join(F.broadcast(bases), keys).withColumn(name, (F.col("_base") + rank - 1).cast("long")).drop("_bucket", "_base")
+    if within is None and rows.limit(FEW + 1).count() <= FEW:
+        return rows.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    if within is None:
+        rows = rows.repartitionByRange(_range_partitions(rows), *keys).sortWithinPartitions(*keys)
+    # The id is the partition, shifted, and the row's place in it.
+    dealt = stored(rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33).cast("int")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    bases = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    placed = dealt.withColumn("_part", part).join(F.broadcast(bases), "_part")
+    place = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, place.cast("long")).drop("_at", "_part", "_base")

@@ -16,6 +16,30 @@ EDGE_STYLES = {
 }
 
 
+#: The names of the queries and what the pages say around them, of the literal and of the pattern pages.
+LIVE_WORDS = {
+    "en": {"run": "Run Search", "advice": "Get Advice", "effects": "Get Effects", "by_reference": "Search By Torah", "aspects": "Get Bechinos", "connected": "Get All Connected"},
+    "he": {"run": "חפש", "advice": "קבל עצה", "effects": "קבל נמשך", "by_reference": "חפש לפי תורה", "aspects": "בחינות", "connected": "כל הקשורים"},
+}
+MODULE_WORDS = {
+    "en": {
+        "run": "Run Search", "advice": "Get Advice", "effects": "Get Effects", "by_reference": "Search By Torah", "aspects": "Get Bechinos",
+        "connected": "Get All Connected Topics", "connect_two": "Connect Two Bechinos", "likutay": "Likutay Halachos Style", "raw": "Raw Query",
+        "topic": "Select Topic:", "topic_1": "Select Topic 1:", "topic_2": "Select Topic 2:", "reference": "Select Torah #:", "depth_2": "Select Depth 2:",
+    },
+    "he": {
+        "run": "חפש", "advice": "קבל עצה", "effects": "קבל נמשך (מסובב)", "by_reference": "חפש לפי תורה", "aspects": "בחינות",
+        "connected": "קבל כל הנושאים הקשורים", "connect_two": "קשר ב' בחינות", "likutay": "חידושים בסיגנון לקוטי הלכות", "raw": "חפש עם קוד",
+        "topic": "בחר נושא", "topic_1": "בחר נושא 1", "topic_2": "בחר נושא 2", "reference": "מספר תורה", "depth_2": "בחר עומק 2",
+    },
+}
+
+
+def query_name(query: str, lang: str = "en", mode: str = "live") -> str:
+    """What a page calls a query, or says at an input, in a language."""
+    return (LIVE_WORDS if mode == "live" else MODULE_WORDS)[lang][query]
+
+
 def style_nodes(nodes: DataFrame, *topics: str, escape: bool = True) -> DataFrame:
     """nodes in the color for all, and those whose label is a topic asked for in the color for these."""
     wanted = [escape_quotes(str(t)) if escape else str(t) for t in topics]
@@ -36,14 +60,26 @@ def style_edges(edges: DataFrame, lang: str = "en") -> DataFrame:
     return edges.withColumns({"color": by_kind(0), "size": by_kind(1), "shape": by_kind(2), "label": by_kind(3), "hover_color": F.lit(HOVER_COLOR)})
 
 
-def parallel_rank(edges: DataFrame, order: str = "seq") -> DataFrame:
+def parallel_rank(edges: DataFrame, order: str = "seq", ends: tuple[str, str] = ("node1_id", "node2_id")) -> DataFrame:
     """edges with their place from 0 among those between the same two nodes, either way round, and the number of these: parallel_rank, parallel_count.
     Edges with a missing end stand alone with the same end or ends missing."""
-    pair = [F.least("node1_id", "node2_id"), F.greatest("node1_id", "node2_id"), F.col("node1_id").isNull() | F.col("node2_id").isNull()]
+    pair = [F.least(*ends), F.greatest(*ends), F.col(ends[0]).isNull() | F.col(ends[1]).isNull()]
     rank = F.row_number().over(Window.partitionBy(*pair).orderBy(order)) - 1
     return edges.withColumns({"parallel_rank": rank.cast("long"), "parallel_count": F.count(F.lit(1)).over(Window.partitionBy(*pair))})
 
 
+def auto_curve(edges: DataFrame, order: str = "seq", ends: tuple[str, str] = ("node1_id", "node2_id")) -> DataFrame:
+    """edges, of which those that share their two nodes with others are drawn as curves: their kind moves to prior_type (null for all others), type becomes `curve`, and
+    curve_place is their place among them. style_edges() looks at both columns, so the kinds keep their looks."""
+    ranked = parallel_rank(edges, order, ends)
+    several = F.col("parallel_count") > 1
+    return ranked.withColumns({
+        "prior_type": F.when(several, F.col("type")),
+        "type": F.when(several, "curve").otherwise(F.col("type")),
+        "curve_place": F.when(several, F.col("parallel_rank")),
+    }).drop("parallel_rank", "parallel_count")
+
+
 def in_language(edges: DataFrame, lang: str = "en") -> DataFrame:
     """edges with the labels of one language as label1 and label2, and the name of their kind as type_name."""
     one, two = ("node1_text", "node2_text") if lang == "he" else ("node1_text_en", "node2_text_en")

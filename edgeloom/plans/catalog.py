@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import leading_int
 from ..operators import adjacency, graph, layout, live, lookups, module, style
-from ..sources import edges_from_tables
+from ..sources import edge_table
+from .registry import check_loaded, run
 
 TOPIC, PATTERN, ONE, OTHER, NUMBER = "ring", "^nu", "red plate", "hot ring", 3
 HIT = ["seq", "node1_id", "node2_id", "type", "reference"]
@@ -13,14 +15,14 @@ HIT = ["seq", "node1_id", "node2_id", "type", "reference"]
 
 def _hits(query, *params, capped=False):
     def ask(spark, sf_dir):
-        found = query(edges_from_tables(spark, sf_dir), *params)
+        found = query(edge_table(spark, sf_dir), *params)
         return (live.first_hits(found) if capped else found).select(*HIT, *[c for c in found.columns if c == "branch"])
 
     return ask
 
 
 def _over(make):
-    return lambda spark, sf_dir: make(edges_from_tables(spark, sf_dir))
+    return lambda spark, sf_dir: make(edge_table(spark, sf_dir))
 
 
 def _autofill(name):
@@ -63,6 +65,16 @@ def queries() -> dict:
         "parallel_rank": _over(lambda e: style.parallel_rank(e).select("seq", "parallel_rank", "parallel_count")),
         "lang_projection": _over(lambda e: style.in_language(e, "en").select("seq", "label1", "label2", "type_name")),
         "label_coalesce": _over(lambda e: e.select("seq", F.coalesce(F.nullif("node2_text", F.lit("")), "node1_id").alias("label"))),
+        "auto_curve": _over(lambda e: style.auto_curve(e).select("seq", "type", "prior_type", "curve_place")),
+        "curve_styles": _over(lambda e: style.style_edges(style.auto_curve(e)).select("seq", "color", "size", "shape", "label")),
+        "parse_int": _over(lambda e: e.select("seq", leading_int(F.substring("proof", 7, 99)).alias("decimal"), leading_int(F.concat(F.lit(" -0X1"), "reference", F.lit("z"))).alias("hexadecimal"), leading_int(F.col("proof")).alias("none"))),
+        "sorted_lexically_10": _over(lambda e: lookups.sorted_lexically(lookups.autofill(e, *lookups.AUTOFILL["advice"])).limit(10).select("value")),
+        "sorted_numerically_3": _over(lambda e: lookups.sorted_numerically(lookups.autofill(e, *lookups.AUTOFILL["references"])).limit(3).select("value")),
+        "mod_escaped": _hits(lambda e, topic: module.advice(e, topic, escape=True), '"?ring'),
+        "run_live": _over(lambda e: run(e, "connected", TOPIC).nodes),
+        "run_live_uncapped": _over(lambda e: run(e, "connected", TOPIC, cap=None).edges),
+        "run_module": _over(lambda e: run(e, "advice", TOPIC, mode="module").nodes),
+        "loaded": lambda spark, sf_dir: spark.createDataFrame([(check_loaded(edge_table(spark, sf_dir)),)], "n long"),
         "bounds": _over(lambda e: layout.bounds(lookups.topics(e).select(F.length("value").cast("double").alias("x"), F.ascii("value").cast("double").alias("y")))),
     }
     return found | {f"autofill_{name}": _autofill(name) for name in lookups.AUTOFILL}
@@ -70,15 +82,15 @@ def queries() -> dict:
 
 #: The edge view, and seq over it.
 _EDGES = """
-WITH x AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, p.p_name AS node1_id, p.p_name || ' / ' || p.p_brand AS node1_text,
+WITH x AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_returnflag, p.p_name AS node1_id, p.p_name || ' / ' || p.p_brand AS node1_text,
   upper(p.p_name) || ' (' || p.p_type || ')' AS node1_text_en,
   'order ' || CAST(l.l_orderkey AS varchar) || ' line ' || CAST(l.l_linenumber AS varchar) AS proof, CAST(l.l_linenumber AS int) AS reference,
   CASE l.l_returnflag WHEN 'R' THEN 'eitza' WHEN 'A' THEN 'bechina' ELSE 'other' END AS type, CAST(NULL AS int) AS is_good,
   CASE WHEN l.l_returnflag = 'A' AND l.l_linestatus = 'F' AND l.l_linenumber = 1 THEN 1 END AS is_bad
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
-e AS (SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS seq, node1_id, lead(node1_id) OVER w AS node2_id, node1_text,
+e AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS seq, node1_id, lead(node1_id) OVER w AS node2_id, node1_text,
   lead(node1_text) OVER w AS node2_text, proof, reference, type, is_good, is_bad, node1_text_en, lead(node1_text_en) OVER w AS node2_text_en
-  FROM x WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+  FROM x WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))
 """
 
 
@@ -162,9 +174,10 @@ def oracle_sql() -> dict[str, str]:
     sql["edge_detail"] = ask(
         f"SELECT coalesce(node1_text, '') AS \"from\", coalesce(node2_text, '') AS \"to\", coalesce(proof, '') AS proof, coalesce(CAST(reference AS varchar), '') AS reference FROM ({drawn}) d WHERE id = 'e3'", hits
     )
+    either = "CASE WHEN node1_id IS NOT NULL AND node2_id IS NOT NULL THEN type END AS type"
     roles = (
-        ", r AS (SELECT node1_id AS id, type, node2_id AS other, 'child' AS part FROM e WHERE node1_id IS NOT NULL AND node2_id IS NOT NULL "
-        "UNION ALL SELECT node2_id, type, node1_id, 'parent' FROM e WHERE node1_id IS NOT NULL AND node2_id IS NOT NULL)"
+        f", r AS (SELECT node1_id AS id, {either}, node2_id AS other, 'child' AS part FROM e WHERE node1_id IS NOT NULL "
+        f"UNION ALL SELECT node2_id, {either}, node1_id, 'parent' FROM e WHERE node2_id IS NOT NULL)"
     )
     tests = {"bechina": "type = 'bechina'", "parent_eitza": "type = 'eitza' AND part = 'parent'", "child_eitza": "type = 'eitza' AND part = 'child'"}
     lists = ", ".join(f"coalesce(list_sort(list(other) FILTER (WHERE {t})), []) AS {c}" for c, t in tests.items())
@@ -177,6 +190,17 @@ def oracle_sql() -> dict[str, str]:
     sql["style_edges"] = ask(f"""SELECT seq, {case("'#cf4ac8'", "'#4acfc8'")} AS color, {size} AS size, {case("'curvedArrow'", "'curve'")} AS shape, {case("'Advice'", "'Aspect'")} AS label, '#000000' AS hover_color FROM e""")
     pair = "CASE WHEN node2_id IS NULL OR node1_id < node2_id THEN node1_id ELSE node2_id END, CASE WHEN node2_id IS NULL OR node1_id >= node2_id THEN node1_id ELSE node2_id END, node2_id IS NULL"
     sql["parallel_rank"] = ask(f"SELECT seq, row_number() OVER (PARTITION BY {pair} ORDER BY seq) - 1 AS parallel_rank, count(*) OVER (PARTITION BY {pair}) AS parallel_count FROM e")
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY {pair} ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY {pair}) AS m FROM e"
+    sql["auto_curve"] = ask(f"SELECT seq, CASE WHEN m > 1 THEN 'curve' ELSE type END AS type, CASE WHEN m > 1 THEN type END AS prior_type, CASE WHEN m > 1 THEN k END AS curve_place FROM ({ranked}) r")
+    sql["curve_styles"] = ask(f"""SELECT seq, {case("'#cf4ac8'", "'#4acfc8'")} AS color, {size} AS size, {case("'curvedArrow'", "'curve'")} AS shape, {case("'Advice'", "'Aspect'")} AS label FROM e""")
+    sql["parse_int"] = ask("SELECT seq, CAST(regexp_extract(proof, '^order ([0-9]+)', 1) AS int) AS decimal, CAST(-16 - reference AS int) AS hexadecimal, CAST(NULL AS int) AS none FROM e")
+    sql["sorted_lexically_10"] = f"SELECT value FROM ({autofill(*lookups.AUTOFILL['advice'])}) a ORDER BY coalesce(value, 'null') LIMIT 10"
+    sql["sorted_numerically_3"] = f"SELECT value FROM ({autofill(*lookups.AUTOFILL['references'])}) a ORDER BY coalesce(value, 0) LIMIT 3"
+    sql["mod_escaped"] = ask(f"SELECT {cols}, CAST(0 AS int) AS branch FROM e WHERE type = 'eitza' AND {found_in('node2_id', chr(34) + '?ring')}")
+    sql["run_live"] = sql["nodes_150"]
+    sql["run_live_uncapped"] = ask(drawn, all_hits)
+    sql["run_module"] = ask(f"SELECT id, label, CAST(4.39528751373291 AS double) AS size, 'rgb(55,155,51)' AS color FROM ({last_wins.format('_en')}) n", advice_hits)
+    sql["loaded"] = ask("SELECT count(*) AS n FROM e")
     sql["lang_projection"] = ask(f"""SELECT seq, node1_text_en AS label1, node2_text_en AS label2, {case("'Advice'", "'Aspect'")} AS type_name FROM e""")
     sql["label_coalesce"] = ask("SELECT seq, coalesce(nullif(node2_text, ''), node1_id) AS label FROM e")
     sql["bounds"] = ask(

@@ -34,8 +34,7 @@ class GraphResult:
 def run(edges: DataFrame, query: str, *params, mode: str = "live", cap: int | None = live.CAP, lang: str = "en", escape: bool = True, styled: bool = False) -> GraphResult:
     """A query by name, with its parameters.
 
-    mode `live`: by literal text, cut to the first cap hits (None: all; ids of drawn edges are then dense over all hits by a global
-    numbering in one task, so leave the cap where results are large). mode `module`: by pattern, without a cap; escape says whether
+    mode `live`: by literal text, cut to the first cap hits (None: all; they are then numbered in ranges). mode `module`: by pattern, without a cap; escape says whether
     parameters get backslashes before quotation marks first, as the pages do. styled: colors and shapes of the module pages.
     A missing topic gives an empty result with a status in live mode and an empty result in module mode.
     """
@@ -56,7 +55,7 @@ def run(edges: DataFrame, query: str, *params, mode: str = "live", cap: int | No
     except live.TopicMissing:
         hits, status = edges.limit(0), NO_TOPIC
     hits = hits if cap is None else live.first_hits(hits, cap)
-    return GraphResult(hits, graph.live_nodes(hits), graph.live_edges(hits), graph.summary(hits), status)
+    return GraphResult(hits, graph.live_nodes(hits), graph.live_edges(hits, capped=cap is not None), graph.summary(hits), status)
 
 
 def check_loaded(edges: DataFrame) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import ADVICE, ASPECT, EDGES, RECORD
+from .storage import new_path
 
 
 def read_assignment(spark: SparkSession, *paths: str) -> DataFrame:
@@ -36,11 +37,14 @@ def read_assignment(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Edges that were written as parquet, with the schema of edges; partitioning by type is read as a column."""
-    return spark.read.schema(EDGES).parquet(path)
+    return spark.read.schema(EDGES).parquet(path).select(*EDGES.names)
 
 
 def edges_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edge view over orders: the parts of an order's consecutive lines follow each other. The last line of an order has no target."""
+    """An edge view over orders: the parts of an order's consecutive lines follow each other. The last line of an order has no target. seq numbers the lines from 0 by
+    order, line, part and supplier, whatever their values."""
+    from ..operators.numbering import with_positions
+
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type")
     one = line.join(part, line.l_partkey == part.p_partkey).select(
@@ -48,6 +52,7 @@ def edges_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber"),
         F.col("l_partkey"),
         F.col("l_suppkey"),
+        F.col("l_returnflag"),
         F.col("p_name").alias("node1_id"),
         F.concat("p_name", F.lit(" / "), "p_brand").alias("node1_text"),
         F.concat(F.upper("p_name"), F.lit(" ("), "p_type", F.lit(")")).alias("node1_text_en"),
@@ -55,13 +60,35 @@ def edges_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", ADVICE).when(F.col("l_returnflag") == "A", ASPECT).otherwise("other").alias("type"),
         F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1), 1).alias("is_bad"),
     )
-    follow = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    inside = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+    # Ranges of orders: the window needs no other shuffle, and its sort is that of the numbering.
+    ranged = one.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "l_orderkey").sortWithinPartitions("l_orderkey", *inside)
+    follow = Window.partitionBy("l_orderkey").orderBy(*inside)
     nxt = lambda c: F.lead(c).over(follow).alias(c.replace("node1", "node2"))
-    seq = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
-    return one.select(
-        seq.cast("long").alias("seq"), "node1_id", nxt("node1_id"), "node1_text", nxt("node1_text"), "proof",
+    edges = ranged.select(
+        "node1_id", nxt("node1_id"), "node1_text", nxt("node1_text"), "proof",
         F.col("l_linenumber").cast("int").alias("reference"), "type", F.lit(None).cast("int").alias("is_good"), "is_bad", "node1_text_en", nxt("node1_text_en"),
     )
+    return with_positions(edges, ["l_orderkey"], "seq", within=["l_orderkey"]).select(*EDGES.names)
+
+
+#: Of each application and folder of tables, where its edge table is.
+_written: dict[tuple[str, str], str] = {}
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Edges as parquet by type, in order of seq inside each file, so that a query reads the kinds that it asks for."""
+    edges.sortWithinPartitions("type", "seq").write.partitionBy("type").parquet(path)
+
+
+def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of edges_from_tables() as a stored table, by type. It is written once for an application, in the shared folder; queries are scans of it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path = new_path(spark, "edges")
+        write_edges(edges_from_tables(spark, sf_dir), path)
+        _written[key] = path
+    return read_parquet(spark, _written[key])
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, form: str = "parquet") -> None:

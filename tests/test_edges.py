@@ -7,7 +7,7 @@ from edgeloom.functions import scalar
 from edgeloom.operators import adjacency, graph, layout, live, lookups, module, numbering, style
 from edgeloom.plans import check_loaded, extensions, run, sql
 from edgeloom.schema import EDGES
-from edgeloom.sources import read_assignment, read_parquet, write_graph
+from edgeloom.sources import edge_table, read_assignment, read_parquet, write_graph
 
 
 @pytest.fixture(scope="module")
@@ -115,6 +115,8 @@ def test_adjacency(edges):
         "peace": ([], [], []),
     }
     plain = adjacency.adjacency(edges).collect()
+    assert {r.id for r in plain} == got.keys() - {"null"}
+    assert {r.id for r in adjacency.adjacency(edges.filter("seq in (7, 8)")).collect()} == {"joy", "faith"}
     assert sum(len(r.bechina) for r in plain) == 2 * 4 and sum(len(r.child_eitza) for r in plain) == sum(len(r.parent_eitza) for r in plain) == 3
     assert {r.id: r.n_bechina for r in adjacency.degrees(edges).collect()} == {r.id: len(r.bechina) for r in plain}
 
@@ -127,6 +129,10 @@ def test_styles(edges, spark):
     assert [(r.color, r.size, r.shape, r.label) for r in style.style_edges(kinds, "he").orderBy("seq").collect()] == [("#cf4ac8", 6.1, "curvedArrow", "עצה"), ("#4acfc8", 2.1, "curve", "בחינה"), (None,) * 4]
     ranks = {r.seq: (r.parallel_rank, r.parallel_count) for r in style.parallel_rank(edges).collect()}
     assert [ranks[k] for k in (0, 1, 3, 4)] == [(0, 3), (1, 3), (2, 3), (0, 1)]
+    curved = {r.seq: (r.type, r.prior_type, r.curve_place) for r in style.auto_curve(edges).collect()}
+    assert [curved[k] for k in (0, 1, 3, 4)] == [("curve", "eitza", 0), ("curve", "bechina", 1), ("curve", "eitza", 2), ("bechina", None, None)]
+    assert {r.seq: r.color for r in style.style_edges(style.auto_curve(edges)).collect()} == {r.seq: r.color for r in style.style_edges(edges).collect()}
+    assert style.query_name("connected", "en", "module") == "Get All Connected Topics" and style.query_name("connected", "he") == "כל הקשורים"
     assert style.in_language(edges, "en").filter("seq = 9").first().type_name is None
 
 
@@ -137,15 +143,36 @@ def test_scalars(spark):
 
     rows = spark.createDataFrame([("12abc",), ("",), (None,), ("99999999999",)], "s string").select(scalar.leading_int(F.col("s")).alias("n"))
     assert [r.n for r in rows.collect()] == [12, None, None, None]
+    forms = ["0x1f!", " -0X10", "\ufeff\u00a07", "\u0663", "0x", "0xffffffffffffffffff", "-", "+5", "0x0000000000000000012"]
+    rows = spark.createDataFrame([(f,) for f in forms], "s string").select(scalar.leading_int(F.col("s")).alias("n"))
+    assert [r.n for r in rows.collect()] == [31, -16, 7, None, 0, None, None, 5, 18]
+    assert [scalar.leading_int(f) for f in forms] == [31, -16, 7, None, 0, 16**18 - 1, None, 5, 18]
+    assert scalar.as_number("\u0663") is None and scalar.as_number("\ufeff3") == 3
     assert scalar.escape_quotes("a\"b'c") == "a\\\"b\\'c"
 
 
-def test_positions(spark):
+@pytest.mark.parametrize("few", [numbering.FEW, 10])
+def test_positions(spark, monkeypatch, few):
+    monkeypatch.setattr(numbering, "FEW", few)
     rows = spark.range(5000).selectExpr("cast(id % 3 as int) g", "cast(case when id < 3000 then 7 else id * id end as long) o")
-    got = [(r.g, r.o) for r in numbering.with_positions(rows, "g", "o").orderBy("position").collect()]
+    got = [(r.g, r.o) for r in numbering.with_positions(rows, ["g", "o"]).orderBy("position").collect()]
     assert got == sorted(got) and len(got) == 5000
-    assert sorted(r.position for r in numbering.with_positions(rows, None, "o").collect()) == list(range(5000))
-    assert not numbering.with_positions(rows.limit(0), "g", "o").collect()
+    assert sorted(r.position for r in numbering.with_positions(rows, ["o"]).collect()) == list(range(5000))
+    assert not numbering.with_positions(rows.limit(0), ["g", "o"]).collect()
+
+
+def test_edge_table(spark, tmp_path):
+    """Keys of any size keep their order, and the stored table is by type."""
+    lines = [(9_000_000_000 + k // 3, 1 + k % 3, 10**12 + k, 10**9, "RAN"[k % 3], "F") for k in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(x[2], f"p{x[2] - 10**12}", "B", "T") for x in lines], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    table = edge_table(spark, str(tmp_path))
+    assert table.schema == EDGES
+    got = table.orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(60)) and [r.node1_id for r in got] == [f"p{k}" for k in range(60)]
+    assert [r.node2_id for r in got] == [f"p{k + 1}" if k % 3 < 2 else None for k in range(60)]
+    assert "type" in live.advice(table, "p")._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+    assert edge_table(spark, str(tmp_path)).inputFiles() == table.inputFiles()
 
 
 def test_files(spark, edges, tmp_path):
@@ -176,12 +203,30 @@ def test_layout(spark, edges):
     assert layout.bounds(drawn.limit(0)).first().min_x is None
 
 
-def test_extensions(spark, edges):
+def test_large_layout(spark, edges, monkeypatch):
+    monkeypatch.setattr(layout, "MOST_NODES", 10)
+    monkeypatch.setattr(layout, "LARGE_STEPS", 12)
+    pairs = [(f"n{g}_{k}", f"n{g}_{(k + 1) % 6}") for g in range(4) for k in range(6)]
+    nodes = spark.createDataFrame([(f"n{g}_{k}",) for g in range(4) for k in range(6)], "id string")
+    links = spark.createDataFrame([*pairs, ("n0_0", "elsewhere")], "source string, target string")
+    for draw in (layout.force_layout, layout.gravity_layout):
+        at = {r.id: (r.x, r.y) for r in draw(nodes, links).collect()}
+        assert len(at) == 24 and all(abs(v) < 1e6 for p in at.values() for v in p)
+        far = lambda a, b: ((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2) ** 0.5  # noqa: B023, E731
+        linked = sum(far(a, b) for a, b in pairs) / len(pairs)
+        every = [far(a, b) for a in at for b in at if a < b]
+        assert linked < sum(every) / len(every)
+
+
+def test_extensions(spark, edges, monkeypatch):
     assert seqs(extensions.paths(edges, "joy", "faith", 1)) == [0, 1, 3]
     two = extensions.paths(edges, "peace", "faith", 2)
     assert sorted((r.seq, r.hop) for r in two.collect()) == [(0, 2), (1, 2), (3, 2), (9, 1)]
     assert not extensions.paths(edges, "peace", "humility", 4).collect()
     assert sorted((r.topic, r.seq) for r in extensions.connected_to_any(edges, ["song", "king", "song"]).collect()) == [("king", 5), ("song", 2)]
+    monkeypatch.setattr(extensions, "BLOCK_TOPICS", 1)
+    assert sorted((r.topic, r.seq) for r in extensions.connected_to_any(edges, ["song", "king", "song"]).collect()) == [("king", 5), ("song", 2)]
+    assert not extensions.connected_to_any(edges, []).collect() and seqs(extensions.paths(edges, "humility", "humility", 3)) == [4]
     assert sql.query(edges, "select count(*) n from edges where type = :kind", kind="eitza").first().n == 4
 
 
@@ -195,6 +240,8 @@ def test_stream(spark, edges, tmp_path):
     edges.filter("seq >= 5").write.mode("append").parquet(source)
     answer_stream(stream_edges(spark, source), live.connected, "joy", **places).awaitTermination()
     assert seqs(spark.read.parquet(places["sink"])) == LIVE["joy"][3]
+    with pytest.raises(ValueError, match="likutay"):
+        answer_stream(stream_edges(spark, source), module.likutay, "joy", "faith", **places)
 
 
 def test_filters_reach_the_scan(spark, edges, tmp_path):

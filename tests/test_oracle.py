@@ -19,7 +19,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", ["live_connected_150", "mod_connected", "mod_likutay", "mod_regex_null", "autofill_text200", "nodes_last_wins", "graph_edges_mod", "adjacency", "parallel_rank"])
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_same_rows(spark, sql, name):
     got = catalog.queries()[name](spark, TABLES)
     found = sql.execute(catalog.oracle_sql()[name])
