@@ -81,6 +81,17 @@ def test_pages(page):
     assert html.main_text(page) == PAGES[page]
 
 
+@pytest.mark.parametrize("page", [*PAGES, *WRAPPED.values()])
+def test_text_is_that_of_the_cheapest_labelling(page):
+    """All labellings of a page's blocks instead of a flow; of the cheapest ones, that with the fewest content blocks."""
+    blocks, elements = html.parsed(page)
+    html._weigh(blocks, elements)
+    terminals, ties = [html.costs(b) for b in blocks], html.edges(blocks)
+    cost = lambda labels: sum(t[0] if x else t[1] for t, x in zip(terminals, labels, strict=True)) + sum(w for a, b, w in ties if labels[a] != labels[b])
+    best = min(itertools.product((False, True), repeat=len(blocks)), key=lambda labels: (cost(labels), sum(labels)))
+    assert html.main_text(page) == " ".join(b.text for b, x in zip(blocks, best, strict=True) if x)
+
+
 def test_rows(spark):
     pages = [*enumerate(PAGES), (99, None), (None, "<p>x"), (3, "<nav>a"), (7, "<article>" + "<p>word word</p>" * 30_000 + "</article>")]
     rows = spark.createDataFrame([(i, f"u{i}", h, "t") for i, h in pages], "page_id long, url string, html string, text string")
