@@ -7,7 +7,7 @@ folder and reads it again, so a lost executor costs part of one stage.
 from __future__ import annotations
 
 from edgeloom.llm import decontamination, language, pieces, simhash, toxicity
-from edgeloom.llm.common import stored, table
+from edgeloom.llm.common import forget, scratch, stored, table
 
 
 def by_language(spark, docs, sf_dir):
@@ -50,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        # A stage's own tables, and the result of the stage before it, go when its result is written.
+        with scratch() as keep:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(docs)
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
