@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_hot, stored
 
 #: Characters that the models tell apart; all others are one more. With the two marks, 4-grams number under 6 million however many URLs there are.
 ALPHABET = "a-z0-9./_?=&#%:-"
@@ -105,12 +105,17 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     slim = slim.withColumn("row", F.monotonically_increasing_id()).withColumn("text", _text(F.col("url")))
     learns = lambda s: ((F.col("says") == s) & ~F.col("aside")).cast("long")
     grams = _grams(slim, *(F.coalesce(learns(s), F.lit(0)).alias(s) for s in ("allow", "block")))
-    grams = stored(grams.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "grams")
-    weights = stored(_weights(grams), "weights")
-    weights = F.broadcast(weights) if weights.count() <= MOST_BROADCAST else weights
-    # Partial sums leave one row for each url before the shuffle.
+    grams = stored(grams.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count(F.lit(1)).alias("n")), "grams")
+    weights = stored(_weights(grams.select("gram", "allow", "block")), "weights")
     own = ("id", "host", "path", "rule", "says", "aside")
-    sums = _grams(slim, "row", *own).join(weights, "gram", "left").groupBy("row").agg(F.avg("weight").alias("score"), *(F.first(c).alias(c) for c in own))
+    if weights.count() <= MOST_BROADCAST:
+        # Partial sums leave one row for each url before the shuffle.
+        sums = _grams(slim, "row", *own).join(F.broadcast(weights), "gram", "left").groupBy("row").agg(F.avg("weight").alias("score"), *(F.first(c).alias(c) for c in own))
+    else:
+        # Only rows' numbers go with the grams; frequent grams are no hot keys. The rows are written first, as their numbers must be the same twice.
+        slim = stored(slim, "urls")
+        met = join_hot(_grams(slim, "row"), weights, ["gram"], grams.select("gram", "n"), grams.agg(F.sum("n")).first()[0])
+        sums = slim.join(met.groupBy("row").agg(F.avg("weight").alias("score")), "row").select("row", "score", *own)
     scored = stored(sums.drop("row"), "scored")
     step = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) * STEPS)
     bins = scored.filter("says is not null and aside").groupBy(step.alias("step")).agg(F.sum((F.col("says") == "allow").cast("long")).alias("a"), F.sum((F.col("says") == "block").cast("long")).alias("b"))
