@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import leading_int
 from ..operators import adjacency, graph, layout, live, lookups, module, style
-from ..sources import edge_table
+from ..sources import edge_table, write_graph
+from ..sources.storage import new_path
+from . import sql
 from .registry import check_loaded, run
 
 TOPIC, PATTERN, ONE, OTHER, NUMBER = "ring", "^nu", "red plate", "hot ring", 3
@@ -30,6 +32,23 @@ def _autofill(name):
     return _over(lambda e: lookups.autofill(e, kinds, properties).select("value"))
 
 
+def _told(e):
+    """What is said of a missing topic, of one that isn't there and of one that is."""
+    rows = [(k, run(e, "connected", topic).told()) for k, topic in enumerate(("", "nowhere at all", TOPIC))]
+    return e.sparkSession.createDataFrame(rows, "place int, text string")
+
+
+def _from_sink(e):
+    """The nodes of a graph that was written and is read again."""
+    hits, folder = live.connected(e, TOPIC), new_path(e.sparkSession, "graph")
+    write_graph(graph.live_nodes(hits), graph.live_edges(hits, capped=False), folder)
+    return e.sparkSession.read.parquet(f"{folder}/nodes")
+
+
+def _points(e):
+    return lookups.topics(e).select("value", F.length("value").cast("double").alias("x"), F.ascii("value").cast("double").alias("y"))
+
+
 def _chosen(e):
     """The capped hits of `connected`: what a page draws."""
     return live.first_hits(live.connected(e, TOPIC))
@@ -75,7 +94,12 @@ def queries() -> dict:
         "run_live_uncapped": _over(lambda e: run(e, "connected", TOPIC, cap=None).edges),
         "run_module": _over(lambda e: run(e, "advice", TOPIC, mode="module").nodes),
         "loaded": lambda spark, sf_dir: spark.createDataFrame([(check_loaded(edge_table(spark, sf_dir)),)], "n long"),
-        "bounds": _over(lambda e: layout.bounds(lookups.topics(e).select(F.length("value").cast("double").alias("x"), F.ascii("value").cast("double").alias("y")))),
+        "told": _over(_told),
+        "sink_nodes": _over(_from_sink),
+        "raw_sql": _over(lambda e: sql.query(e, "SELECT type, count(*) AS n, max(seq) AS last FROM edges WHERE reference = :number GROUP BY type", number=NUMBER)),
+        "placed": _over(lambda e: graph.live_nodes(e, seed=7).select("id", (F.col("x").between(0, 100) & F.col("y").between(0, 100) & (F.col("x") != F.col("y"))).alias("inside"))),
+        "rescaled": _over(lambda e: layout.rescaled(_points(e), 100.0, 50.0).select("value", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))),
+        "bounds": _over(lambda e: layout.bounds(_points(e))),
     }
     return found | {f"autofill_{name}": _autofill(name) for name in lookups.AUTOFILL}
 
@@ -201,6 +225,18 @@ def oracle_sql() -> dict[str, str]:
     sql["run_live_uncapped"] = ask(drawn, all_hits)
     sql["run_module"] = ask(f"SELECT id, label, CAST(4.39528751373291 AS double) AS size, 'rgb(55,155,51)' AS color FROM ({last_wins.format('_en')}) n", advice_hits)
     sql["loaded"] = ask("SELECT count(*) AS n FROM e")
+    sql["told"] = ask(
+        f"SELECT * FROM (VALUES (CAST(0 AS int), 'Please enter a topic'), (CAST(1 AS int), 'No results found')) v(place, text) UNION ALL "
+        f"SELECT CAST(2 AS int), 'Found ' || CAST(nodes AS varchar) || ' nodes, ' || CAST(connections AS varchar) || ' connections' FROM ({counted}) c", hits
+    )
+    sql["sink_nodes"] = ask(first_wins.format("h"), all_hits)
+    sql["raw_sql"] = ask(f"SELECT type, count(*) AS n, max(seq) AS last FROM e WHERE reference = {NUMBER} GROUP BY type")
+    sql["placed"] = ask(f"SELECT value AS id, true AS inside FROM ({all_topics}) a")
+    sql["rescaled"] = ask(
+        f"SELECT value, round((x - (max_x + min_x) / 2) * scale, 6) AS x, round((y - (max_y + min_y) / 2) * scale, 6) AS y FROM (SELECT *, least(100 / (max_x - min_x), 50 / (max_y - min_y)) AS scale FROM "
+        f"(SELECT *, max(x) OVER () AS max_x, min(x) OVER () AS min_x, max(y) OVER () AS max_y, min(y) OVER () AS min_y FROM "
+        f"(SELECT value, CAST(length(value) AS double) AS x, CAST(ascii(value) AS double) AS y FROM ({all_topics}) a) b) c) d"
+    )
     sql["lang_projection"] = ask(f"""SELECT seq, node1_text_en AS label1, node2_text_en AS label2, {case("'Advice'", "'Aspect'")} AS type_name FROM e""")
     sql["label_coalesce"] = ask("SELECT seq, coalesce(nullif(node2_text, ''), node1_id) AS label FROM e")
     sql["bounds"] = ask(
