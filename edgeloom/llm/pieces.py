@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from bisect import insort
 from itertools import pairwise
 
 import numpy as np
@@ -102,96 +104,80 @@ class Pieces:
         return segment.replace(SPACE, "\0").replace(" ", SPACE) if SPACE in segment else segment.replace(" ", SPACE)
 
     def _forward(self, segment: str) -> tuple[list[float], list[list]]:
-        """The Viterbi pass: of each place the best score of reaching it, and the arcs that end there (start, ids, score)."""
+        """The Viterbi pass: of each place the best score of reaching it, and the arcs that end there (start, ids, score), the longest first."""
         size, marked = len(segment), self._marked(segment)
         best = [0.0] + [float("-inf")] * size
         arcs: list[list] = [[] for _ in range(size + 1)]
+        first, floor = self.tree.get, self.floor
         for i in range(size):
-            node, at = self.tree, best[i]
-            for j in range(i, size):
+            at, j = best[i], i + 1
+            node = first(marked[i])
+            if node is None or 0 not in node:
+                ids, score = self._fallback(segment[i]), floor
+            else:
+                ids, score = node[0]
+            arcs[j].append((i, ids, score))
+            score += at
+            if score > best[j]:
+                best[j] = score
+            while node is not None and j < size:
                 node = node.get(marked[j])
-                if node is None:
-                    break
-                if 0 in node:
-                    ids, score = node[0]
-                    arcs[j + 1].append((i, ids, score))
-                    best[j + 1] = max(best[j + 1], at + score)
-            if not arcs[i + 1] or arcs[i + 1][-1][0] != i:
-                arcs[i + 1].append((i, self._fallback(segment[i]), self.floor))
-                best[i + 1] = max(best[i + 1], at + self.floor)
-        return best, arcs
-
-    def first_two(self, segment: str) -> tuple[tuple[int, ...], float, float | None, bool]:
-        """The best segmentation's ids and score, what the second best loses against it (None: there is none), and whether the ids decode to the segment.
-
-        It is the search below up to its second result: the first steps back along the best arcs, and the second leaves that way once, where
-        this costs least, as all else of it is the heuristic's best way. Of equal ones shorter last pieces come first.
-        """
-        size, marked = len(segment), self._marked(segment)
-        nothing = float("-inf")
-        best, second = [nothing] * (size + 1), [nothing] * (size + 1)
-        back: list = [None] * (size + 1)
-        best[0] = 0.0
-        tree, floor = self.tree, self.floor
-        for i in range(size):
-            node, at, single = tree, best[i], False
-            for j in range(i, size):
-                node = node.get(marked[j])
-                if node is None:
-                    break
-                if 0 in node:
+                j += 1
+                if node is not None and 0 in node:
                     ids, score = node[0]
+                    arcs[j].append((i, ids, score))
                     score += at
-                    if j == i:
-                        single = True
-                    if score >= best[j + 1]:
-                        second[j + 1] = best[j + 1]
-                        best[j + 1] = score
-                        back[j + 1] = i, ids
-                    elif score > second[j + 1]:
-                        second[j + 1] = score
-            if not single:
-                score = at + floor
-                if score >= best[i + 1]:
-                    second[i + 1] = best[i + 1]
-                    best[i + 1] = score
-                    back[i + 1] = i, self._fallback(segment[i])
-                elif score > second[i + 1]:
-                    second[i + 1] = score
-        at, parts, loss = size, [], float("inf")
-        while at:
-            loss = min(loss, best[at] - second[at])
-            at, ids = back[at]
-            parts.append(ids)
-        ids = sum(reversed(parts), ())
-        exact = b"".join([self.raw[k] for k in ids]) == segment.encode("utf-8", "surrogatepass")
-        return ids, best[-1], None if loss == float("inf") else loss, exact
+                    if score > best[j]:
+                        best[j] = score
+        return best, arcs
 
     def search(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations (all, if fewer), best first: score, ids. segment: spaces as in the text.
 
-        Backward A-star: what is done from the end plus the forward score of the rest. Of equal ones shorter last pieces come first.
+        Backward A-star: what is done from the end plus the forward score of the rest. Of equal ones shorter last pieces come first. As that score is exact, each open way stands
+        for segmentations of its own of which one has its cost: no more ways are kept open than segmentations are still to be found, and for the last one its way is followed by
+        the best arcs.
         """
         best, arcs = self._forward(segment)
-        found = []
-        count = 0
-        heap = [(-best[-1], 0, len(segment), 0.0, None)]
-        while heap:
-            cost, _, at, done, path = heapq.heappop(heap)
+        found: list[tuple] = []
+        count, wanted = 0, n
+        open_ways: list[tuple] = [(-best[-1], 0, len(segment), 0.0, ())]
+        while open_ways:
+            cost, _, at, done, path = open_ways.pop(0)
+            if wanted == 1:
+                while at:
+                    most = float("-inf")
+                    for i, ids, score in arcs[at]:
+                        if best[i] + score >= most:
+                            most, start, more, own = best[i] + score, i, ids, score
+                    at, done, path = start, done + own, (more, path)
             if not at:
-                ids: list[int] = []
+                ids = []
                 while path:
                     ids += path[0]
                     path = path[1]
                 found.append((-cost, tuple(ids)))
-                if len(found) == n:
+                wanted -= 1
+                if not wanted:
                     break
+                del open_ways[wanted:]
                 continue
             for i, ids, score in arcs[at]:
-                count -= 1
-                heapq.heappush(heap, (-(best[i] + (done + score)), count, i, done + score, (ids, path)))
+                score += done
+                cost = -(best[i] + score)
+                if len(open_ways) < wanted or cost <= open_ways[-1][0]:
+                    count -= 1
+                    insort(open_ways, (cost, count, i, score, (ids, path)))
+                    del open_ways[wanted:]
         return found
 
+    def first_two(self, segment: str) -> tuple[tuple[int, ...], float, float | None, bool]:
+        """The best segmentation's ids and score, what the second best loses against it (None: there is none), and whether the ids decode to the segment."""
+        got = self.search(segment, 2)
+        score, ids = got[0]
+        exact = b"".join([self.raw[k] for k in ids]) == segment.encode("utf-8", "surrogatepass")
+        return ids, score, max(0.0, score - got[1][0]) if len(got) > 1 else None, exact
+
     def decode(self, ids) -> str:
         """The text of ids. The space that encoding puts first goes."""
         raw = self.raw
@@ -211,7 +197,7 @@ class Pieces:
             got = old.get(segment)
             if got is None:
                 ids, score, loss, exact = self.first_two(segment)
-                got = (np.array(ids, np.int32).tobytes(), score, float("inf") if loss is None else loss, exact)
+                got = (array("i", ids).tobytes(), score, float("inf") if loss is None else loss, exact)
             if len(segment) <= LONGEST_REMEMBERED:
                 if len(young) >= REMEMBERED:
                     young, old = {}, young
