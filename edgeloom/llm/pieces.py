@@ -172,11 +172,30 @@ class Pieces:
         return found
 
     def first_two(self, segment: str) -> tuple[tuple[int, ...], float, float | None, bool]:
-        """The best segmentation's ids and score, what the second best loses against it (None: there is none), and whether the ids decode to the segment."""
-        got = self.search(segment, 2)
-        score, ids = got[0]
+        """The best segmentation's ids and score, what the second best loses against it (None: there is none), and whether the ids decode to the segment.
+
+        It is search() for two, up to the score of the second: one way is followed, and of all others only the best need stay open, as its score is exact.
+        """
+        best, arcs = self._forward(segment)
+        at, done, other = len(segment), 0.0, float("-inf")
+        nothing = other
+        parts: list[tuple] = []
+        while at:
+            most = nothing
+            for arc in arcs[at]:
+                score = best[arc[0]] + arc[2]
+                if score >= most:
+                    if most + done > other:
+                        other = most + done
+                    most, chosen = score, arc
+                elif score + done > other:
+                    other = score + done
+            at, more, score = chosen
+            done += score
+            parts.append(more)
+        ids = sum(reversed(parts), ())
         exact = b"".join([self.raw[k] for k in ids]) == segment.encode("utf-8", "surrogatepass")
-        return ids, score, max(0.0, score - got[1][0]) if len(got) > 1 else None, exact
+        return ids, best[-1], max(0.0, best[-1] - other) if other > nothing else None, exact
 
     def decode(self, ids) -> str:
         """The text of ids. The space that encoding puts first goes."""

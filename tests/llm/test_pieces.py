@@ -93,3 +93,14 @@ def test_ids_decode_with_the_public_library():
     for text in ["Hello there", "two  spaces", "été 🙂 and\nlines", "x" * 100]:
         ids = np.frombuffer(one(text)[0], np.int32).tolist()
         assert library.decode(ids) == text
+
+
+def test_first_two_are_those_of_the_search():
+    model = pieces.Pieces(SMALL)
+    rnd = random.Random(8)
+    for _ in range(600):
+        segment = "".join(rnd.choice("aabbc. é\nx" + SP) for _ in range(rnd.randint(1, 12)))
+        ids, score, loss, exact = model.first_two(segment)
+        got = model.search(segment, 2)
+        assert (score, ids) == got[0] and exact
+        assert (loss is None) == (len(got) == 1) and (loss is None or abs(loss - (got[0][0] - got[1][0])) < 1e-9)
