@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,37 +45,45 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def edges_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edge view over orders: the parts of an order's consecutive lines follow each other. The last line of an order has no target. seq numbers the lines from 0 by
     order, line, part and supplier, whatever their values."""
-    from ..operators.numbering import with_positions
+    return _stored_edges(spark, sf_dir)(spark)
+
+
+def _stored_edges(spark: SparkSession, sf_dir: str) -> Callable[[SparkSession], DataFrame]:
+    """Stores the view by type, in order of seq inside each file, so that a query reads the kinds that it asks for, and returns what reads it.
 
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    Labels are made after the shuffle and the window, from the columns of the part, so rows are narrow there; each task sorts a range of bounded size.
+    """
+    from ..operators.numbering import number_ranges, range_count
+
+    inside = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *inside, "l_linestatus")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type")
-    one = line.join(part, line.l_partkey == part.p_partkey).select(
-        F.col("l_orderkey"),
-        F.col("l_linenumber"),
-        F.col("l_partkey"),
-        F.col("l_suppkey"),
-        F.col("l_returnflag"),
+    one = line.join(part, line.l_partkey == part.p_partkey).drop("p_partkey")
+    # Ranges of orders: the window needs no other shuffle, and its sort is that of the numbering.
+    ranged = one.repartitionByRange(range_count(spark, line.count()), "l_orderkey").sortWithinPartitions("l_orderkey", *inside)
+    follow = Window.partitionBy("l_orderkey").orderBy(*inside)
+    ends = ranged.withColumns({f"{c}2": F.lead(c).over(follow) for c in ("p_name", "p_brand", "p_type")})
+    text = lambda n: F.concat(f"p_name{n}", F.lit(" / "), f"p_brand{n}")
+    text_en = lambda n: F.concat(F.upper(f"p_name{n}"), F.lit(" ("), f"p_type{n}", F.lit(")"))
+    edges = ends.select(
         F.col("p_name").alias("node1_id"),
-        F.concat("p_name", F.lit(" / "), "p_brand").alias("node1_text"),
-        F.concat(F.upper("p_name"), F.lit(" ("), "p_type", F.lit(")")).alias("node1_text_en"),
+        F.col("p_name2").alias("node2_id"),
+        text("").alias("node1_text"),
+        text("2").alias("node2_text"),
         F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" line "), F.col("l_linenumber").cast("string")).alias("proof"),
+        F.col("l_linenumber").cast("int").alias("reference"),
         F.when(F.col("l_returnflag") == "R", ADVICE).when(F.col("l_returnflag") == "A", ASPECT).otherwise("other").alias("type"),
+        F.lit(None).cast("int").alias("is_good"),
         F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1), 1).alias("is_bad"),
+        text_en("").alias("node1_text_en"),
+        text_en("2").alias("node2_text_en"),
     )
-    inside = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
-    # Ranges of orders: the window needs no other shuffle, and its sort is that of the numbering.
-    ranged = one.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "l_orderkey").sortWithinPartitions("l_orderkey", *inside)
-    follow = Window.partitionBy("l_orderkey").orderBy(*inside)
-    nxt = lambda c: F.lead(c).over(follow).alias(c.replace("node1", "node2"))
-    edges = ranged.select(
-        "node1_id", nxt("node1_id"), "node1_text", nxt("node1_text"), "proof",
-        F.col("l_linenumber").cast("int").alias("reference"), "type", F.lit(None).cast("int").alias("is_good"), "is_bad", "node1_text_en", nxt("node1_text_en"),
-    )
-    return with_positions(edges, ["l_orderkey"], "seq", within=["l_orderkey"]).select(*EDGES.names)
+    read = number_ranges(edges, "seq", by="type")
+    return lambda spark: read(spark).select(*EDGES.names)
 
 
-#: Of each application and folder of tables, where its edge table is.
-_written: dict[tuple[str, str], str] = {}
+#: Of each application and folder of tables, what reads its edge table.
+_written: dict[tuple[str, str], Callable[[SparkSession], DataFrame]] = {}
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
@@ -85,10 +95,8 @@ def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of edges_from_tables() as a stored table, by type. It is written once for an application, in the shared folder; queries are scans of it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        path = new_path(spark, "edges")
-        write_edges(edges_from_tables(spark, sf_dir), path)
-        _written[key] = path
-    return read_parquet(spark, _written[key])
+        _written[key] = _stored_edges(spark, sf_dir)
+    return _written[key](spark)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, form: str = "parquet") -> None:

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from edge_rows import LIVE, MODULE, NAMES, REFERENCES, ROWS
+from pyspark.sql import functions as F
 
 from edgeloom.functions import scalar
 from edgeloom.operators import adjacency, graph, layout, live, lookups, module, numbering, style
@@ -175,6 +176,27 @@ def test_edge_table(spark, tmp_path):
     assert edge_table(spark, str(tmp_path)).inputFiles() == table.inputFiles()
 
 
+def test_edge_table_in_ranges(spark, tmp_path, monkeypatch):
+    """As many ranges as the rows need, whatever the number of shuffle partitions; rows are sorted for the last time there, and a file holds seq in order."""
+    monkeypatch.setattr(numbering, "RANGE_ROWS", 30)
+    lines = [(k // 3, 1 + k % 3, k % 50, 1, "RANA"[k % 4], "F") for k in range(600)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"p{k}", "B", "t") for k in range(50)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    table = edge_table(spark, str(tmp_path))
+    got = [tuple(r) for r in table.orderBy("seq").collect()]
+    part = lambda k: (f"p{lines[k][2]}", f"p{lines[k][2]} / B", f"P{lines[k][2]} (t)") if k < 600 and k % 3 else (None,) * 3
+    own = lambda k: (f"p{lines[k][2]}", f"p{lines[k][2]} / B", f"P{lines[k][2]} (t)")
+    kinds = {"R": "eitza", "A": "bechina", "N": "other"}
+    for k, (seq, a, b, ta, tb, proof, reference, kind, good, bad, ea, eb) in enumerate(got):
+        assert (seq, a, ta, ea) == (k, *own(k)) and (b, tb, eb) == part(k + 1)
+        assert (proof, reference, kind, good, bad) == (f"order {k // 3} line {1 + k % 3}", 1 + k % 3, kinds[lines[k][4]], None, 1 if lines[k][4] == "A" and k % 3 == 0 else None)
+    assert len(got) == 600
+    rows = {}
+    for r in table.select(F.input_file_name().alias("file"), "seq").collect():
+        rows.setdefault(r.file, []).append(r.seq)
+    assert len(rows) > 3 * 10 and all(x == sorted(x) for x in rows.values())
+
+
 def test_files(spark, edges, tmp_path):
     records = [{f.name: row[k + 1] for k, f in enumerate(EDGES.fields[1:])} for row in ROWS]
     one, two = tmp_path / "one.js", tmp_path / "two.js"
