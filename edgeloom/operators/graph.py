@@ -32,9 +32,17 @@ def _ends(hits: DataFrame, texts: tuple[str, str]) -> DataFrame:
     return hits.select(*_order(hits), F.inline(F.array(end(1), end(2))))
 
 
+def _labelled(ends: DataFrame, label: Column, last: bool) -> DataFrame:
+    """id, label of the first or last of ends. Spark reduces by hash only to values of a fixed width, and sorts all rows to choose a text: so the first or last seq of each
+    label of an id is found by hash, and few rows are left to choose from."""
+    order = [c for c in ("branch", "seq", "side") if c in ends.columns]
+    found = ends.groupBy("id", label.alias("label"), *[c for c in order if c != "seq"]).agg((F.max if last else F.min)("seq").alias("seq"))
+    return found.groupBy("id").agg((F.max_by if last else F.min_by)("label", F.struct(*order)).alias("label"))
+
+
 def live_nodes(hits: DataFrame, seed: int | None = None) -> DataFrame:
     """The ids at hits' ends but for null and empty ones: id, label (of the first occurrence; the id, if that has no text), size, color.
-    seed: with random x and y from 0 to 100. Labels are chosen by partial aggregation, without a sort."""
+    seed: with random x and y from 0 to 100."""
     ends = _ends(hits, text_columns("he")).filter(truthy(F.col("id")))
     label = F.min_by(default_to(F.col("text"), F.col("id")), F.struct(*_order(hits), "side")).alias("label")
     nodes = ends.groupBy("id").agg(label).withColumns({"size": F.lit(LIVE_NODE_SIZE), "color": F.lit(LIVE_NODE_COLOR)})
@@ -45,8 +53,7 @@ def module_nodes(hits: DataFrame, lang: str = "en", seed: int | None = None) ->
     """The ids at hits' ends, null as the word null: id, label (of the last occurrence, null if that has none), size, color.
     seed: with random x and y from 0 to 1."""
     ends = _ends(hits, text_columns(lang)).withColumn("id", js_string(F.col("id")))
-    label = F.max_by("text", F.struct(*_order(hits), "side")).alias("label")
-    nodes = ends.groupBy("id").agg(label).withColumns({"size": F.lit(MODULE_NODE_SIZE), "color": F.lit(MODULE_NODE_COLOR)})
+    nodes = _labelled(ends, F.col("text"), last=True).withColumns({"size": F.lit(MODULE_NODE_SIZE), "color": F.lit(MODULE_NODE_COLOR)})
     return nodes if seed is None else placed(nodes, seed, 1.0)
 
 

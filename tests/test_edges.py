@@ -102,6 +102,27 @@ def test_module_graph(edges):
         run(edges, "raw", "joy")
 
 
+@pytest.mark.parametrize("make", [lambda e: graph.module_nodes(module.connected(e, "joy"))])
+def test_labels_are_reduced_before_a_sort(spark, make):
+    """Rows as many as the hits go through hash aggregates only; a sort sees one row for each label of an id, or each place of a value."""
+    plan = make(spark.createDataFrame(ROWS, EDGES))._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Aggregate" in x]
+    assert "HashAggregate" in lines[-1] and "HashAggregate" in lines[-2] and not any("Sort" in x for x in lines[-2:])
+
+
+def test_labels_of_ties(spark):
+    """First and last by branch, then seq, then side; seq of any size, texts repeated, null and empty."""
+    big = 1 << 62
+    rows = [(big + k, "a", "a", f"t{k % 3}" if k % 4 else None, "" if k % 5 == 0 else f"u{k % 2}", None, 1, "eitza", None, None, f"e{k % 3}" if k != 39 else None, f"f{k}" if k < 39 else None) for k in range(-40, 40)]
+    table = spark.createDataFrame(rows, EDGES).repartition(7)
+    assert [tuple(r) for r in graph.live_nodes(table).select("id", "label").collect()] == [("a", "a")]
+    assert [r.label for r in graph.live_nodes(table.filter(F.col("seq") > big - 40)).collect()] == [f"t{-39 % 3}"]
+    assert [r.label for r in graph.module_nodes(table.withColumn("branch", F.lit(0))).collect()] == [None]
+    two = table.withColumn("branch", (F.col("seq") < big).cast("int"))
+    assert [r.label for r in graph.module_nodes(two).collect()] == ["f-1"]
+    assert [r.label for r in graph.live_nodes(two).collect()] == ["a"] and [r.label for r in graph.module_nodes(two, "he").collect()] == ["u1"]
+
+
 def test_adjacency(edges):
     got = {r.id: (r.bechina, r.parent_eitza, r.child_eitza) for r in adjacency.adjacency(edges, "js").collect()}
     assert got == {
