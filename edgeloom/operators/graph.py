@@ -44,8 +44,7 @@ def live_nodes(hits: DataFrame, seed: int | None = None) -> DataFrame:
     """The ids at hits' ends but for null and empty ones: id, label (of the first occurrence; the id, if that has no text), size, color.
     seed: with random x and y from 0 to 100."""
     ends = _ends(hits, text_columns("he")).filter(truthy(F.col("id")))
-    label = F.min_by(default_to(F.col("text"), F.col("id")), F.struct(*_order(hits), "side")).alias("label")
-    nodes = ends.groupBy("id").agg(label).withColumns({"size": F.lit(LIVE_NODE_SIZE), "color": F.lit(LIVE_NODE_COLOR)})
+    nodes = _labelled(ends, default_to(F.col("text"), F.col("id")), last=False).withColumns({"size": F.lit(LIVE_NODE_SIZE), "color": F.lit(LIVE_NODE_COLOR)})
     return nodes if seed is None else placed(nodes, seed, 100.0)
 
 

@@ -44,7 +44,9 @@ def autofill(edges: DataFrame, types: tuple[str, ...], properties: tuple[str, ..
     """
     kinds = reduce(lambda a, b: a | b, (F.col("type") == t for t in types))
     spread = edges.filter(kinds).select("seq", F.posexplode(F.array(*properties)).alias("place", "value"))
-    found = distinct_in_order(spread, F.col("value"), F.struct("seq", "place")).orderBy("first")
+    # By hash to a number of each value and place; a struct as the least of many rows would have them all sorted.
+    least = spread.groupBy("value", "place").agg(F.min("seq").alias("seq"))
+    found = distinct_in_order(least, F.col("value"), F.struct("seq", "place")).orderBy("first")
     return found if cap is None else found.limit(cap)
 
 

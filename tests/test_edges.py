@@ -102,7 +102,7 @@ def test_module_graph(edges):
         run(edges, "raw", "joy")
 
 
-@pytest.mark.parametrize("make", [lambda e: graph.module_nodes(module.connected(e, "joy"))])
+@pytest.mark.parametrize("make", [lambda e: graph.module_nodes(module.connected(e, "joy")), graph.live_nodes, lambda e: lookups.autofill(e, *lookups.AUTOFILL["topics"])])
 def test_labels_are_reduced_before_a_sort(spark, make):
     """Rows as many as the hits go through hash aggregates only; a sort sees one row for each label of an id, or each place of a value."""
     plan = make(spark.createDataFrame(ROWS, EDGES))._jdf.queryExecution().executedPlan().toString()
