@@ -29,9 +29,14 @@ def neighbours(edges: DataFrame, null_policy: str = "exclude") -> DataFrame:
 
 def adjacency(edges: DataFrame, null_policy: str = "exclude") -> DataFrame:
     """A row for each end of any edge of any kind: id, bechina, parent_eitza, child_eitza, sorted lists with repeated neighbours repeated.
-    A node's lists are one row; use neighbours() where these could be too long for one."""
-    lists = (F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("neighbour")))).alias(r) for r in ROLES)
-    return neighbours(edges, null_policy).groupBy("id").agg(*lists)
+    A node's lists are one row; use neighbours() where these could be too long for one.
+
+    Repeated neighbours are counted before the shuffle and written out in the node's row, one node after the other in each of the shuffle partitions."""
+    pairs = neighbours(edges, null_policy).groupBy("id", "role", "neighbour").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    # A given number of partitions: by their size, which is that before writing out, few nodes would be put together in one task.
+    dealt = pairs.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "id")
+    counted = dealt.groupBy("id").agg(*(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("neighbour", "n")))).alias(r) for r in ROLES))
+    return counted.select("id", *(F.flatten(F.transform(r, lambda x: F.array_repeat(x["neighbour"], x["n"]))).alias(r) for r in ROLES))
 
 
 def degrees(edges: DataFrame, null_policy: str = "exclude") -> DataFrame:

@@ -143,6 +143,21 @@ def test_adjacency(edges):
     assert {r.id: r.n_bechina for r in adjacency.degrees(edges).collect()} == {r.id: len(r.bechina) for r in plain}
 
 
+def test_adjacency_counts_before_the_shuffle(spark):
+    """Repeated neighbours are shuffled once for each task, and lists hold each of them, in order."""
+    rows = [(k, f"n{k % 3}", f"m{k * k % 5}", "", "", "", 1, ("eitza", "bechina")[k % 2], None, None, "", "") for k in range(2000)]
+    table = spark.createDataFrame(rows, EDGES).repartition(3)
+    got = {r.id: (r.bechina, r.parent_eitza, r.child_eitza) for r in adjacency.adjacency(table).collect()}
+    want = {}
+    for _, a, b, *_, kind, _, _, _, _ in rows:
+        for own, other, at in ((a, b, 2), (b, a, 1)):
+            want.setdefault(own, ([], [], []))[at if kind == "eitza" else 0].append(other)
+    assert got == {k: tuple(map(sorted, v)) for k, v in want.items()}
+    plan = adjacency.adjacency(spark.createDataFrame(ROWS, EDGES))._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Aggregate" in x or "Exchange" in x]
+    assert "HashAggregate" in lines[-1] and "ObjectHash" not in lines[-1] and "Exchange" in lines[-2]
+
+
 def test_styles(edges, spark):
     nodes = spark.createDataFrame([("a", 'the \\"king\\"'), ("b", 'the "king"'), ("c", None)], "id string, label string")
     assert [r.color for r in style.style_nodes(nodes, 'the "king"').orderBy("id").collect()] == ["#f5963e", "#6cbef4", "#6cbef4"]
