@@ -4,6 +4,7 @@ import pytest
 from edge_rows import LIVE, MODULE, NAMES, REFERENCES, ROWS
 from pyspark.sql import functions as F
 
+from edgeloom import sources
 from edgeloom.functions import scalar
 from edgeloom.operators import adjacency, graph, layout, live, lookups, module, numbering, style
 from edgeloom.plans import check_loaded, extensions, run, sql
@@ -212,9 +213,11 @@ def test_edge_table(spark, tmp_path):
     assert edge_table(spark, str(tmp_path)).inputFiles() == table.inputFiles()
 
 
-def test_edge_table_in_ranges(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("broadcast", [sources.edges.BROADCAST_PARTS, 10])
+def test_edge_table_in_ranges(spark, tmp_path, monkeypatch, broadcast):
     """As many ranges as the rows need, whatever the number of shuffle partitions; rows are sorted for the last time there, and a file holds seq in order."""
     monkeypatch.setattr(numbering, "RANGE_ROWS", 30)
+    monkeypatch.setattr(sources.edges, "BROADCAST_PARTS", broadcast)
     lines = [(k // 3, 1 + k % 3, k % 50, 1, "RANA"[k % 4], "F") for k in range(600)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(k, f"p{k}", "B", "t") for k in range(50)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
