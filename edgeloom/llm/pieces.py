@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from bisect import insort
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -32,6 +32,10 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Segments remembered by a worker, and the longest that are.
 REMEMBERED, LONGEST_REMEMBERED = 250_000, 48
+#: Characters of texts that are encoded together (or one text), and of segments that are searched together.
+TOGETHER, SEARCHED = 1 << 19, 1 << 15
+#: Searches for n that a worker remembers.
+SEARCHES = 10_000
 UNKNOWN_COST = 10.0
 
 
@@ -52,6 +56,62 @@ def _segments(pieces: list[str]) -> str:
     return f" *[^ {alone}{some}]+| *[{some}]+| +" + "|\n" * bool(alone)
 
 
+class Steps:
+    """The tree of pieces as arrays: a node's child at a character's class is `child` at the node's base plus the class, if `owner` is the node there."""
+
+    def __init__(self, tree: dict):
+        nodes, children = [tree], []
+        for node in nodes:
+            own = [(char, child) for char, child in node.items() if char != 0]
+            children.append([(char, len(nodes) + k) for k, (char, _) in enumerate(own)])
+            nodes += [child for _, child in own]
+        chars = sorted({ord(char) for own in children for char, _ in own})
+        #: Of each code point a class, 0 for all that no piece has.
+        self.classes = np.zeros(max(chars, default=0) + 2, np.int32)
+        self.classes[chars] = np.arange(1, len(chars) + 1)
+        self.base = np.zeros(len(nodes), np.int32)
+        taken = bytearray(sum(map(len, children)) * 2 + 2 * len(chars) + 2)
+        at, owners, targets, free, begin = [], [], [], 0, 0
+        number = {chr(c): k for k, c in enumerate(chars, 1)}
+        for k in sorted(range(len(nodes)), key=lambda k: -len(children[k])):
+            if not children[k]:
+                break
+            own = sorted((number[char], child) for char, child in children[k])
+            least = own[0][0]
+            free = taken.find(0, free)
+            # Nodes with several children don't try again where many places were taken.
+            slot, tries = taken.find(0, max(begin if len(own) > 1 else free, least)), 0
+            while len(own) > 1 and any([taken[slot - least + c] for c, _ in own]):
+                slot, tries = taken.find(0, slot + 1), tries + 1
+            if tries > 20:
+                begin = slot
+            self.base[k] = slot - least
+            if slot + 2 * len(chars) + 2 >= len(taken):
+                taken += bytes(len(taken))
+            for c, child in own:
+                where = slot - least + c
+                taken[where] = 1
+                at.append(where)
+                owners.append(k)
+                targets.append(child)
+        self.owner = np.full(max(at, default=0) + len(chars) + 2, -1, np.int32)
+        self.child = np.zeros(len(self.owner), np.int32)
+        self.owner[at], self.child[at] = owners, targets
+        #: Of each node the piece that ends there, or -1, and its score.
+        self.piece = np.array([n[0][0][0] if 0 in n else -1 for n in nodes], np.int32)
+        self.score = np.array([n[0][1] if 0 in n else 0.0 for n in nodes])
+        depth = [0] * len(nodes)
+        for k, own in enumerate(children):
+            for _, child in own:
+                depth[child] = depth[k] + 1
+        self.longest = max(depth[-1], 1)
+
+    def next(self, nodes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes' children, and whether they exist."""
+        slots = self.base[nodes] + classes
+        return self.child[slots], self.owner[slots] == nodes
+
+
 class Pieces:
     """The vocabulary: pieces with scores, bytes to fall back on, and where lattices fall apart."""
 
@@ -80,6 +140,8 @@ class Pieces:
                 node = node.setdefault(char, {})
             node[0] = (k,), score
         self.floor = min((s for _, s, _ in normal), default=0.0) - UNKNOWN_COST
+        self.steps = Steps(self.tree)
+        self.raw_size = np.array(list(map(len, self.raw)), np.int64)
         self.segment = re.compile(_segments([p for p, _, _ in normal]))
 
     @classmethod
@@ -203,57 +265,200 @@ class Pieces:
         data = b"".join([raw[k] for k in ids])
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
+    def first_twos(self, segments: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """first_two() of many segments, none of them empty: the segments by length, the ids of all, how many are of each, scores, losses (infinite: there is no second), and whether the ids decode.
+
+        The same sums, a place of all segments at a time. Segments whose best way needs bytes are searched one by one.
+        """
+        segments = sorted(segments, key=len, reverse=True) if len(segments) > 1 else segments
+        steps, text = self.steps, "".join(segments)
+        codes = np.frombuffer(self._marked(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+        classes = steps.classes[np.minimum(codes, len(steps.classes) - 1)]
+        sizes = np.array(list(map(len, segments)))
+        longest = min(steps.longest, int(sizes[0]))
+        # Each segment has a place more than characters; so many as a piece is long lie before all.
+        of = np.repeat(np.arange(len(segments)), sizes)
+        first = np.cumsum(sizes) - sizes + np.arange(len(segments)) + longest
+        place = np.arange(len(codes)) + of + longest
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+        met: list[tuple] = []
+        at = np.arange(len(codes))
+        node, there = steps.next(np.zeros(len(codes), np.int32), classes)
+        for n in range(longest):
+            at, node = at[there], node[there]
+            ends = steps.piece[node] >= 0
+            met.append((place[at[ends]] + n + 1, node[ends]))
+            more = left[at] > n + 1
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+            node, there = steps.next(node, classes[at + n + 1])
+        longest = len(met)
+        #: By place where a piece ends and its length less one.
+        score = np.full((int(first[-1] + sizes[-1]) + 1, longest), float("-inf"))
+        piece = np.full(score.shape, -1, np.int32)
+        score[place + 1, 0] = self.floor
+        for n, (ends, node) in enumerate(met):
+            score[ends, n] = steps.score[node]
+            piece[ends, n] = steps.piece[node]
+        back = np.arange(1, longest + 1)
+        best = np.full(len(score), float("-inf"))
+        best[first] = 0.0
+        lasting = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")
+        for k, n in enumerate(lasting.tolist(), 1):
+            here, few = first[:n] + k, back[:k]
+            best[here] = (best[here[:, None] - few] + score[here, : len(few)]).max(1)
+        end = first + sizes
+        now, at = np.arange(len(segments)), end.copy()
+        done, other, count = np.zeros(len(segments)), np.full(len(segments), float("-inf")), np.zeros(len(segments), np.int64)
+        parts: list[tuple] = []
+        while len(now):
+            here = at[now]
+            ways = best[here[:, None] - back] + score[here]
+            # Of equal ones the shortest last piece.
+            chosen = ways.argmax(1)
+            ways[np.arange(len(now)), chosen] = float("-inf")
+            other[now] = np.maximum(other[now], ways.max(1) + done[now])
+            done[now] += score[here, chosen]
+            parts.append((now, piece[here, chosen]))
+            count[now] += 1
+            at[now] -= chosen + 1
+            now = now[at[now] > first[now]]
+        ends = np.cumsum(count)
+        ids = np.empty(int(ends[-1]), np.int32)
+        for k, (now, own) in enumerate(parts):
+            ids[ends[now] - 1 - k] = own
+        scores, losses = best[end], np.where(other > float("-inf"), np.maximum(0.0, best[end] - other), float("inf"))
+        exact = np.ones(len(segments), bool)
+        if (ids < 0).any():
+            lists = np.split(ids, ends[:-1])
+            for k in np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), "right")).tolist():
+                own, scores[k], loss, exact[k] = self.first_two(segments[k])
+                lists[k], count[k], losses[k] = np.array(own, np.int32), len(own), float("inf") if loss is None else loss
+            ids, ends = np.concatenate(lists), np.cumsum(count)
+        # All decode if all together do, with as many bytes of each segment.
+        raw = self.raw
+        widths = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        if SPACE in text or " " in text:
+            true = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            widths = 1 + (true > 0x7F) + (true > 0x7FF) + (true > 0xFFFF)
+        same = np.array_equal(np.add.reduceat(self.raw_size[ids], ends - count), np.add.reduceat(widths, np.cumsum(sizes) - sizes))
+        if not same or b"".join([raw[k] for k in ids.tolist()]) != text.encode("utf-8", "surrogatepass"):
+            for k, (own, segment) in enumerate(zip(np.split(ids, ends[:-1]), segments, strict=True)):
+                exact[k] = b"".join([raw[x] for x in own.tolist()]) == segment.encode("utf-8", "surrogatepass")
+        return segments, ids, count, scores, losses, exact
+
     def encoder(self, n_best: int):
         """A function from a text to (ids as the bytes of 32-bit integers, score, others, exact). others: the next best segmentations as (score, edits), an edit being
         (first id, number of ids, new ids) against the best; exact: all of them decode to the text."""
-        # Two generations: what the older one holds and is met again moves to the younger one.
-        young: dict[str, tuple] = {}
-        old: dict[str, tuple] = {}
-        find = self.segment.findall
+        many = self.encoder_of_many(n_best)
+        return lambda text: next(many([text]))
 
-        def solve(segment: str) -> tuple:
-            nonlocal young, old
-            got = old.get(segment)
-            if got is None:
-                ids, score, loss, exact = self.first_two(segment)
-                got = (array("i", ids).tobytes(), score, float("inf") if loss is None else loss, exact)
-            if len(segment) <= LONGEST_REMEMBERED:
-                if len(young) >= REMEMBERED:
-                    young, old = {}, young
-                young[segment] = got
-            return got
-
-        def one(text: str | None):
-            if not text:
+    def encoder_of_many(self, n_best: int):
+        """As encoder(), from a list of texts, whose segments are searched together, to an iterator."""
+        find = self.segment.findall
+        known = Known()
+        search = lru_cache(SEARCHES)(self.search)
+
+        def learn(segments: set[str]) -> None:
+            known.forget_if_full()
+            places = known.places
+            new = sorted([s for s in segments if s not in places], key=len)
+            at = 0
+            while at < len(new):
+                n = max(1, SEARCHED // len(new[at]))
+                while n > 1 and len(new[min(at + n, len(new)) - 1]) * n > 2 * SEARCHED:
+                    n //= 2
+                if len(new[at]) > LONGEST_REMEMBERED:
+                    ids, score, loss, exact = self.first_two(new[at])
+                    known.add([new[at]], np.array(ids, np.int32), *([x] for x in (len(ids), score, float("inf") if loss is None else loss, exact)))
+                    n = 1
+                else:
+                    known.add(*self.first_twos([x for x in new[at : at + n] if len(x) <= LONGEST_REMEMBERED]))
+                    n = sum(len(x) <= LONGEST_REMEMBERED for x in new[at : at + n])
+                at += n
+
+        def one(text: str | None, segments: list[str]):
+            if not segments:
                 return b"", 0.0, [], True
-            segments = find(" " + text)
-            get = young.get
-            solved = [get(s) or solve(s) for s in segments]
-            ids, scores, losses, exacts = zip(*solved, strict=True)
-            score = sum(scores)
-            exact = all(exacts)
+            at = np.fromiter(map(known.places.__getitem__, segments), np.int64, len(segments))
+            loss, sizes = known.losses[at], known.sizes[at]
+            ids = known.ids_of(at, sizes)
+            score = sum(known.scores[at].tolist())
+            exact = bool(known.exacts[at].all())
             if n_best < 2:
-                return b"".join(ids), score, [], exact
+                return ids.tobytes(), score, [], exact
             # n - 1 segments with the smallest loss of a second segmentation hold all that the n best change.
-            loss = np.array(losses)
             few = np.argsort(loss, kind="stable") if len(loss) < n_best else np.nonzero(loss <= np.partition(loss, n_best - 2)[n_best - 2])[0]
-            few = sorted(sorted(few[loss[few] < float("inf")].tolist(), key=losses.__getitem__)[: n_best - 1])
+            few = sorted(sorted(few[loss[few] < float("inf")].tolist(), key=loss.__getitem__)[: n_best - 1])
             lists: list[tuple[float, tuple]] = [(0.0, ())]
-            starts, at, before = {}, 0, 0
+            ends = np.cumsum(sizes)
+            starts = {}
             for k in few:
-                at += sum(map(len, ids[before:k])) // 4
-                starts[k], before = at, k
-                first, top = tuple(np.frombuffer(ids[k], np.int32).tolist()), scores[k]
-                own = [(0.0, None)] + [(max(0.0, top - s), new) for s, new in self.search(segments[k], n_best + 1) if new != first]
+                starts[k] = int(ends[k] - sizes[k])
+                first, top = tuple(ids[starts[k] : ends[k]].tolist()), float(known.scores[at[k]])
+                own = [(0.0, None)] + [(max(0.0, top - s), new) for s, new in (search if len(segments[k]) <= LONGEST_REMEMBERED else self.search)(segments[k], n_best + 1) if new != first]
                 lists = heapq.nsmallest(n_best, ((a + b, (*picks, (k, new)) if new else picks) for a, picks in lists for b, new in own))
             others = []
             for loss, picks in lists[1:]:
-                edits = [(starts[k], len(ids[k]) // 4, list(new)) for k, new in picks]
+                edits = [(starts[k], int(sizes[k]), list(new)) for k, new in picks]
                 exact = exact and all(b"".join([self.raw[x] for x in new]) == segments[k].encode("utf-8", "surrogatepass") for k, new in picks)
                 others.append((score - loss, edits))
-            return b"".join(ids), score, others, exact
+            return ids.tobytes(), score, others, exact
 
-        return one
+        def many(texts: list[str | None]):
+            at = 0
+            while at < len(texts):
+                n, size = 0, 0
+                while at + n < len(texts) and (not n or size + len(texts[at + n] or "") <= TOGETHER):
+                    size += len(texts[at + n] or "")
+                    n += 1
+                lists = [find(" " + text) if text else [] for text in texts[at : at + n]]
+                learn(set().union(*lists))
+                yield from map(one, texts[at : at + n], lists)
+                at += n
+
+        return many
+
+
+class Known:
+    """Segments that have been searched, in arrays: their ids one after the other; and of each the number of ids, the score, the loss and whether it is exact."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids, self.n_ids = np.empty(1024, np.int32), 0
+        self.starts, self.sizes, self.scores, self.losses, self.exacts = (np.empty(1024, kind) for kind in (np.int64, np.int32, np.float64, np.float64, bool))
+
+    def forget_if_full(self) -> None:
+        """Searching many again takes little, so all go at once."""
+        if len(self.places) >= REMEMBERED or self.n_ids >= REMEMBERED * LONGEST_REMEMBERED // 4:
+            self.clear()
+
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(array):
+            return array
+        out = np.empty(max(n, len(array) * 3 // 2), array.dtype)
+        out[: len(array)] = array
+        return out
+
+    def add(self, segments: list[str], ids: np.ndarray, sizes, scores, losses, exacts) -> None:
+        n = len(self.places)
+        end = n + len(segments)
+        self.starts, self.sizes, self.scores, self.losses, self.exacts = (self._room(x, end) for x in (self.starts, self.sizes, self.scores, self.losses, self.exacts))
+        self.ids = self._room(self.ids, self.n_ids + len(ids))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.starts[n:end] = self.n_ids + np.cumsum(sizes) - sizes
+        self.sizes[n:end], self.scores[n:end], self.losses[n:end], self.exacts[n:end] = sizes, scores, losses, exacts
+        self.n_ids += len(ids)
+        self.places.update(zip(segments, range(n, end), strict=True))
+
+    def ids_of(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])]
 
 
 def applied(ids: list[int], edits) -> list[int]:
@@ -281,10 +486,10 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model_file: str = MODEL_FILE,
     slim = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
-        one = None
+        many = None
         for batch in bounded_batches(batches):
-            one = one or shared.value.encoder(n_best)
-            got = [one(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            many = many or shared.value.encoder_of_many(n_best)
+            got = list(many(batch.column(batch.num_columns - 1).to_pylist()))
             others = [[{"score": s, "edits": [{"first": a, "n": n, "ids": new} for a, n, new in edits]} for s, edits in g[2]] for g in got]
             ends = np.cumsum([0, *(len(g[0]) // 4 for g in got)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(g[0] for g in got), np.int32)))

@@ -104,3 +104,41 @@ def test_first_two_are_those_of_the_search():
         got = model.search(segment, 2)
         assert (score, ids) == got[0] and exact
         assert (loss is None) == (len(got) == 1) and (loss is None or abs(loss - (got[0][0] - got[1][0])) < 1e-9)
+
+
+def test_segments_are_searched_together_with_the_results_of_one_by_one(monkeypatch):
+    model = pieces.Pieces(SMALL)
+    rnd = random.Random(9)
+    segments = list(dict.fromkeys("".join(rnd.choice("aabbc. é🙂\nx" + SP) for _ in range(rnd.randint(1, 14))) for _ in range(900)))
+    order, ids, sizes, scores, losses, exacts = model.first_twos(segments)
+    assert sorted(order) == sorted(segments)
+    for segment, own, score, loss, exact in zip(order, np.split(ids, np.cumsum(sizes)[:-1]), scores, losses, exacts, strict=True):
+        want = model.first_two(segment)
+        assert (tuple(own.tolist()), score, None if loss == float("inf") else loss, exact) == want
+    texts = [" ".join(segments[k : k + 7]) for k in range(0, 900, 7)] + ["", None, "ab" * 400]
+    one = model.encoder(4)
+    want = [one(t) for t in texts]
+    # Searched one by one, the 900 segments would each call this; together only those with bytes on their best way do.
+    calls = []
+    alone = pieces.Pieces.first_two
+    monkeypatch.setattr(pieces.Pieces, "first_two", lambda self, s: calls.append(s) or alone(self, s))
+    assert list(model.encoder_of_many(4)(texts)) == want
+    assert all(len(s) > pieces.LONGEST_REMEMBERED or any(c in s for c in "\n🙂x" + SP) for s in calls)
+    monkeypatch.setattr(pieces, "SEARCHED", 1)
+    monkeypatch.setattr(pieces, "TOGETHER", 1)
+    assert list(model.encoder_of_many(4)(texts)) == want
+
+
+def test_pieces_as_arrays_are_those_of_the_tree():
+    model = pieces.Pieces([*SMALL, *((chr(k) + chr(k + 1 + k % 3), -1.0, "normal") for k in range(200, 900))])
+    steps = model.steps
+    for text in ("a", "ab", chr(300) + chr(301), chr(500) + chr(503), "zz"):
+        tree, node, known = model.tree, 0, True
+        for c in text:
+            child, there = steps.next(np.array([node]), steps.classes[[min(ord(c), len(steps.classes) - 1)]])
+            assert there[0] == (c in tree)
+            if not there[0]:
+                known = False
+                break
+            tree, node = tree[c], int(child[0])
+        assert not known or steps.piece[node] == (tree[0][0][0] if 0 in tree else -1)
