@@ -22,15 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(batches):
-    """Arrow batches cut into runs of BATCH_ROWS rows, and of one row where texts are long: so few are Python objects at once, whatever the session's settings."""
+    """Arrow batches cut into runs of BATCH_ROWS rows, and of one row where texts are long: so few are Python objects at once, whatever the session's settings.
+    Who loops over the runs holds the last one until the next batch is there, or for as long as the worker waits for a task: it is a copy, so that the batch, which is as large
+    as the session's settings say, can go. At the end the worker gives back what Arrow keeps for later."""
     for batch in batches:
-        at = 0
-        while at < len(batch):
+        at, rows = 0, len(batch)
+        while at < rows:
             n = BATCH_ROWS
             while n > 1 and batch.slice(at, n).nbytes > BATCH_BYTES:
                 n //= 2
-            yield batch.slice(at, n)
+            part = batch.slice(at, n)
             at += n
+            if n < at and at >= rows:
+                part = pa.ipc.read_record_batch(part.serialize(), part.schema)
+                del batch
+            yield part
+            del part
+    pa.default_memory_pool().release_unused()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -121,6 +129,11 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFra
     return rows.join(at_hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(table, keys))
 
 
+def local_links(spark: SparkSession, links: list[tuple[int, int]]) -> DataFrame:
+    """a, b longs. Handed over as Arrow: rows would come through an RDD that has a Python daemon and workers of its own on each executor, which stay."""
+    return spark.createDataFrame(pa.table({name: pa.array([x[k] for x in links], pa.int64()) for k, name in enumerate("ab")}))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text leaves 1 when divided by 3. False for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

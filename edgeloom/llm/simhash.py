@@ -172,7 +172,7 @@ def _classes(docs: DataFrame, n_words: int, id_col: str, text_col: str, by_shing
         groups = stored(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "groups")
         found = stored(links(groups), "links")
         if by_shingles:
-            found = found.union(similar.links(sketched, found))
+            found = similar.links(sketched, found)
         roots = components(found)
         named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
         named = stored(named, "roots")

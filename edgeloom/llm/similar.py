@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_hot, stored
+from .common import bounded_batches, join_hot, local_links, stored
 from .components import components
 from .simhash import fingerprint, named
 
@@ -196,7 +196,7 @@ def _index_blocks(rest: DataFrame):
 def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """rest, texts: fp, root, body. Links that connect what similar texts of different roots, one of them in rest, connect."""
     spark = texts.sparkSession
-    found = spark.createDataFrame([], "a long, b long")
+    found = local_links(spark, [])
     for index, inside in _index_blocks(rest):
         shared = spark.sparkContext.broadcast(index)
 
@@ -205,14 +205,15 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
                 got = [x for fp, root, body in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in shared.value.links(fp, root, shingles(body.split()))]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        met = texts.select("fp", "root", "body").mapInArrow(run, "a long, b long").union(spark.createDataFrame(inside, "a long, b long"))
+        met = texts.select("fp", "root", "body").mapInArrow(run, "a long, b long").union(local_links(spark, inside))
         found = found.union(stored(met, "across"))
         shared.unpersist()
     return found
 
 
 def links(sketched: DataFrame, known: DataFrame) -> DataFrame:
-    """sketched: a stored table of sketches(). known: links a, b of fingerprints. Further links of fingerprints a, b."""
+    """sketched: a stored table of sketches(). known: links a, b of fingerprints. Links of fingerprints a, b that connect what known ones and similar texts connect.
+    Where components had to be found on the way, they take the place of the links that they come from: those who ask for components again have few steps to do."""
     # Equal sets are one member; their fingerprints can differ, as those count repeated shingles.
     texts = sketched.filter("alike is not null")
     one = texts.groupBy("alike").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), F.max("fp").alias("other"))
@@ -235,7 +236,7 @@ def links(sketched: DataFrame, known: DataFrame) -> DataFrame:
     stars = stars.select(F.least("row", "pivot.row").alias("a"), F.greatest("row", "pivot.row").alias("b"))
     found = stored(equal.union(_verified(sketched, pairs.union(stars))), "found")
     if many.isEmpty():
-        return found
+        return known.union(found)
     roots = components(known.union(found)).withColumnRenamed("node", "fp")
     many = stored(many.join(roots, "fp", "left").select("key", "row", F.coalesce("root", "fp").alias("root")), "many")
     # Keys whose texts have several roots, with the root that most of them have.
@@ -244,4 +245,4 @@ def links(sketched: DataFrame, known: DataFrame) -> DataFrame:
     split = stored(split.select("key", "main"), "split")
     open_rows = join_hot(many, split, ["key"], counts, total).groupBy("row", "root").agg(F.max(F.col("root") != F.col("main")).alias("rest"))
     bodies = _bodies(sketched, stored(open_rows, "open"), "root", "rest")
-    return found.union(_across(bodies.filter("rest"), bodies))
+    return roots.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(_across(bodies.filter("rest"), bodies))

@@ -4,7 +4,8 @@ import pytest
 from test_simhash import plain_fingerprint, rows, union
 
 import corpus_pipeline
-from edgeloom.llm import similar, simhash
+from edgeloom.llm import components, similar, simhash
+from edgeloom.llm.common import scratch, stored
 
 
 def plain_shingles(text):
@@ -50,3 +51,21 @@ def test_rows_without_an_id_and_none_at_all(spark):
     kept = simhash.deduplicated(docs, by_shingles=True).collect()
     assert [r.text for r in kept if r.doc_id is None] == ["only here and now"]
     assert simhash.deduplicated(docs.limit(0), by_shingles=True).count() == 0
+
+
+def test_links_of_large_groups_are_components_and_need_no_python_rdd(spark, monkeypatch):
+    monkeypatch.setattr(similar, "FEW", 2)
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    written = []
+    with scratch():
+        sketched = stored(similar.sketches(docs, 3, "doc_id", "text"), "sketches")
+        known = stored(simhash.links(sketched.select("fp").distinct()), "known")
+        found = similar.links(sketched, known)
+        # Rows of the driver come without an RDD, whose Python daemon and workers would stay in each executor's memory.
+        assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or stored(df, name))
+        got = {r.node: r.root for r in components.components(found).collect()}
+        # The links, and the tables of two rounds: they are stars already.
+        assert len(written) <= 1 + 2 * 4
+        again = {r.node: r.root for r in components.components(known.union(found)).collect()}
+        assert got == again and len(got) > 5
